@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontaminate, mixing, secrets, sharding
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
     "op7_sharding": sharding.query,
+    "op9_secrets": secrets.query,
 }
 
 ORACLES = {
+    "op4_decontaminate": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op9_secrets": secrets.ORACLE,
 }
