@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, sharding
+from . import decontaminate, linededup, mixing, secrets, sharding
 
 QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
     "op7_sharding": sharding.query,
     "op9_secrets": secrets.query,
+    "op10_linededup": linededup.query,
 }
 
 ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "op10_linededup": linededup.ORACLE,
 }
