@@ -23,7 +23,6 @@ from .common import WORD, cut, small, table
 SEED = 11
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-RANGE_ROWS = 50_000
 #: A table of sources is broadcast up to this many rows.
 SMALL_SOURCES = 10_000
 
@@ -71,7 +70,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
         .withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
         .withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("rounds") * F.col("source_size"))
-        .withColumn("digits", F.least(F.lit(12), F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / RANGE_ROWS) / F.log(F.lit(16.0))))).cast("int"))
+        .withColumn("digits", F.least(F.lit(12), F.greatest(F.lit(0), F.ceil(F.log(F.sqrt("n") / 8) / F.log(F.lit(16.0))))).cast("int"))
         .withColumnRenamed("source", "name")
     )
     known = rows.join(small(goals, SMALL_SOURCES), F.col("source").eqNullSafe(F.col("name"))).withColumn(
