@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, secrets, sharding
+from . import decontaminate, linededup, mixing, neardup, secrets, sharding
 
 QUERIES = {
+    "op1_neardup": neardup.query,
     "op4_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
     "op7_sharding": sharding.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_neardup": neardup.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_secrets": secrets.ORACLE,
