@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, neardup, secrets, sharding
+from . import decontaminate, linededup, mixing, neardup, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.query,
+    "op2_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_quality": quality.query,
     "op6_mixing": mixing.query,
     "op7_sharding": sharding.query,
     "op9_secrets": secrets.query,

@@ -117,3 +117,50 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+class Spans:
+    """Hashes of any byte spans of several texts, bytes mapped by ``table`` first;
+    ``runs`` gives the maximal runs of bytes for which ``inside`` holds."""
+
+    def __init__(self, texts: list[bytes], table: np.ndarray, inside: np.ndarray):
+        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 1
+        self.text_start = np.concatenate(([0], np.cumsum(lengths)))
+        self._pre = np.zeros(len(self.buf) + 1, U64)
+        np.cumsum(table[self.buf] * _powers_of(_BASE, len(self.buf)), out=self._pre[1:])
+        self._inv = _powers_of(_BASE_INV, len(self.buf) + 1)
+        ok = np.zeros(len(self.buf) + 2, bool)
+        ok[1:-1] = inside[self.buf]
+        change = np.flatnonzero(ok[1:] != ok[:-1])
+        self.start, self.end = change[0::2], change[1::2]
+        self.first = np.searchsorted(self.start, self.text_start)
+
+    def hash(self, start: np.ndarray, end: np.ndarray | None = None, length: int = 0) -> np.ndarray:
+        """Of the bytes start:end, or of ``length`` bytes from start."""
+        stop = start + length if end is None else end
+        return mix((self._pre[stop] - self._pre[start]) * self._inv[start] + (stop - start).astype(U64))
+
+    def per_text(self, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """Sum of the weights (or count) of byte positions by text."""
+        text = np.searchsorted(self.text_start, at, "right") - 1
+        return np.bincount(text, weights, len(self.text_start) - 1)
+
+
+def byte_table(mapped: dict[bytes, bytes] | None = None) -> np.ndarray:
+    """Fixed random values of the bytes; ``mapped`` makes a byte count as another."""
+    out = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, 256, dtype=U64)
+    for a, b in (mapped or {}).items():
+        for x, y in zip(a, b, strict=True):
+            out[x] = out[y]
+    return out
+
+
+def byte_class(members: bytes, letters: bool = True, high: bool = True) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    if letters:
+        out[65:91] = out[97:123] = True
+    if high:
+        out[128:] = True
+    return out
