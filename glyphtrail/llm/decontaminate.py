@@ -103,11 +103,10 @@ def contaminated(
     found = None
     for s in lengths:
         w = docs.filter(F.col("text").isNotNull()).select("doc_id", words_of(F.col("text")).alias("_w"))
-        part = w.select(
-            "doc_id",
-            F.greatest(F.lit(0), F.size("_w") - (s - 1)).alias("size"),
-            F.explode(gram_values(F.col("_w"), s, seed)).alias("value"),
-        )
+        w = w.select("doc_id", F.greatest(F.lit(0), F.size("_w") - (s - 1)).alias("size"), "_w")
+        # The array is made inside explode: as a column of its own, the optimiser infers a
+        # filter on it and pushes that down to the scan, where it is far dearer.
+        part = w.select("doc_id", "size", F.explode(gram_values(F.col("_w"), s, seed)).alias("value"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
@@ -122,10 +121,13 @@ def contaminated(
     checked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id"))).withColumn("_w", words_of(F.col("text")))
     here = F.coalesce(*[F.when(F.col("gram") == s, grams(F.col("_w"), s)) for s in range(1, SHINGLE + 1)])
     return (
+        # Filtered after the aggregation: pushed below it, the shared count would be
+        # worked out from the text anew for each shingle.
         checked.select("doc_id", "item_id", "n", "need", F.size(F.array_intersect("grams", here)).alias("n_shared"))
-        .filter(F.col("n_shared") >= F.col("need"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", "need")
         .agg(F.max("n").cast("long").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared"))
+        .filter(F.col("n_shared") >= F.col("need"))
+        .drop("need")
     )
 
 
