@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The six characters that part words, as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows of ids that a partition holds at least, where their number is known.
+ROWS_A_PART = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, so that neither
-    later steps nor lost executors compute it again."""
+    later steps nor lost executors compute it again. With ``rows``, a bound on its
+    rows, it is put into no more partitions than these fill."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         )
+    if rows is not None:
+        df = df.coalesce(max(context.defaultParallelism, rows // ROWS_A_PART))
     return df.checkpoint()
 
 

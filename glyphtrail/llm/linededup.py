@@ -21,35 +21,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, small, table
 
 DEPTH = 3
 MIN_TEXTS = 10
 SHARE = 50
 FIXED = 60
 MIN_TOKENS = 2
+#: Leaves and templates are broadcast up to this many rows (of 16 bytes).
+SMALL_KEYS = 200_000
 #: What counts as a variable field, in masked form.
 VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9]|@|://)[^\x20\x09-\x0D]*"
 WILD = "<*>"
 
 
 def tokens_of(line: Column) -> Column:
-    masked = F.regexp_replace(line, VARIABLE, WILD)
-    return F.filter(F.split(masked, f"{SPACE}+"), lambda t: t != "")
+    """Masked tokens. Most lines have no variable field and single spaces only, for
+    which a plain split does."""
+    masked = F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
+    plain = ~line.rlike(r"[\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$|^$")
+    return F.when(plain, F.split(masked, " ")).otherwise(F.filter(F.split(masked, f"{SPACE}+"), lambda t: t != ""))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line: doc_id, text_key, at, tokens, n, leaf, line_key."""
-    return (
-        docs.select("doc_id", F.xxhash64("text", F.crc32("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("tokens", tokens_of(F.col("line")))
-        .withColumn("n", F.size("tokens"))
-        .filter(F.col("n") >= MIN_TOKENS)
-        .select(
-            "doc_id", "text_key", "at", "tokens", "n",
-            F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"),
-            F.xxhash64("n", "tokens").alias("line_key"),
-        )
+    texts = docs.select("doc_id", F.xxhash64("text", F.crc32("text")).alias("text_key"), "text")
+    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.withColumn("tokens", tokens_of(F.col("line"))).select(
+        "doc_id", "text_key", "at", "tokens",
+        F.size("tokens").alias("n"),
+        F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
+        F.xxhash64(F.size("tokens"), "tokens").alias("line_key"),
     )
 
 
@@ -59,17 +61,15 @@ def recurring(lines: DataFrame, key: str, min_texts: int) -> DataFrame:
         lines.groupBy(key, "text_key").agg(F.min("doc_id").alias("first_id"))
         .groupBy(key).agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_id").alias("first_id"))
         .filter(F.col("n_texts") >= min_texts)
+        .drop("n_texts")
     )
 
 
-def templates(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """leaf -> fixed: the (position, token) that stay, of leaves worth a template."""
-    leaves = recurring(lines, "leaf", min_texts).select("leaf")
+def templates(kinds: DataFrame) -> DataFrame:
+    """leaf -> fixed: the (position, token) that stay, of leaves worth a template, from
+    the kinds of line (leaf, n, tokens, c: how many lines)."""
     counts = (
-        lines.select("leaf", "n", "tokens", "line_key")
-        .groupBy("leaf", "n", "line_key").agg(F.count(F.lit(1)).alias("c"), F.first("tokens").alias("tokens"))
-        .join(leaves, "leaf", "left_semi")
-        .select("leaf", "n", "c", F.posexplode("tokens").alias("pos", "token"))
+        kinds.select("leaf", "n", "c", F.posexplode("tokens").alias("pos", "token"))
         .groupBy("leaf", "n", "pos", "token").agg(F.sum("c").alias("c"))
     )
     sized = counts.groupBy("leaf", "n", "pos").agg(F.sum("c").alias("all"), F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"))
@@ -82,19 +82,26 @@ def templates(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """doc_id, text_key, drop: the positions of a text's lines that go, if any."""
-    lines = cut(lines_of(docs))
-    single = recurring(lines, "line_key", min_texts).withColumnRenamed("first_id", "line_first").drop("n_texts")
-    known = cut(templates(lines, min_texts))
-    member = lines.join(known, "leaf").filter(
-        F.forall("fixed", lambda f: F.get("tokens", f["pos"]) == f["token"])
+    """doc_id, text_key, drop: the positions of a text's lines that go, if any. Only
+    keys are written for every line; tokens are made anew for lines of recurring leaves."""
+    keys = cut(lines_of(docs).select("doc_id", "text_key", "at", F.when(F.col("n") >= MIN_TOKENS, F.col("leaf")).alias("leaf"), "line_key"))
+    keys = keys.filter("leaf is not null")
+    leaves = cut(recurring(keys, "leaf", min_texts).select("leaf"))
+    near = small(leaves, SMALL_KEYS)
+    lines = cut(keys.join(near, "leaf"))
+    kinds = cut(
+        lines_of(docs).join(near, "leaf").groupBy("leaf", "n", "line_key").agg(F.count(F.lit(1)).alias("c"), F.first("tokens").alias("tokens"))
+    )
+    fits = cut(
+        kinds.join(templates(kinds), "leaf").filter(F.forall("fixed", lambda f: F.get("tokens", f["pos"]) == f["token"])).select("line_key")
     )
-    leaf_of = recurring(member, "leaf", min_texts).withColumnRenamed("first_id", "leaf_first").drop("n_texts")
-    by_leaf = member.join(leaf_of, "leaf").select("doc_id", "text_key", "at", F.col("leaf_first").alias("first_id"))
-    by_line = lines.join(single, "line_key").select("doc_id", "text_key", "at", F.col("line_first").alias("first_id"))
-    # A line of both kinds goes by either; it stays only where it is the first of all.
+    member = lines.join(small(fits, SMALL_KEYS), "line_key")
+    by_leaf = member.join(small(cut(recurring(member, "leaf", min_texts)), SMALL_KEYS), "leaf")
+    by_line = lines.join(small(cut(recurring(lines, "line_key", min_texts)), SMALL_KEYS), "line_key")
+    places = ["doc_id", "text_key", "at", "first_id"]
+    # A line of both kinds stays only where it is the first of both.
     return (
-        by_leaf.unionByName(by_line)
+        by_leaf.select(places).unionByName(by_line.select(places))
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("drop"))
     )
