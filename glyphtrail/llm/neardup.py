@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .components import components
 from .textops import SHINGLE, U64, Words, blocks, mix, shared
 
@@ -49,6 +49,8 @@ SEED = 3
 TILE = 256
 PROMISING = 0.55
 _PART = 4096
+#: Nodes of clusters are broadcast up to this many rows (of 24 bytes), to find their texts.
+SMALL_NODES = 200_000
 
 _ring: dict[int, np.ndarray] = {}
 
@@ -77,11 +79,11 @@ def set_key(shingles: np.ndarray) -> bytes:
     return np.array([shingles.sum(dtype=U64), np.bitwise_xor.reduce(turned) + U64(len(shingles))], U64).tobytes()
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket number for each band."""
-    out = np.arange(BANDS, dtype=U64)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A 64-bit bucket number for each band of each row of ``sigs``."""
+    out = np.broadcast_to(np.arange(BANDS, dtype=U64), (len(sigs), BANDS))
     for r in range(ROWS):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + sig[r::ROWS][:BANDS].astype(U64))
+        out = mix(out * U64(0x9E3779B97F4A7C15) + sigs[:, r::ROWS].astype(U64))
     return out.view(np.int64)
 
 
@@ -119,25 +121,29 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFra
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        if not n:
-            continue
         sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, COORDS)
-        keys = np.concatenate([band_keys(s) for s in sigs])
-        nodes = batch.column("node").take(pa.array(np.repeat(np.arange(n), BANDS)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), nodes], names=["bucket", "node"])
+        short = np.repeat(batch.column("short").to_numpy(zero_copy_only=False), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(band_keys(sigs).ravel()), pa.array(short)], names=["bucket", "short"])
 
 
 def star_pairs(nodes: DataFrame) -> DataFrame:
-    """a, b: each node with the centre of each bucket that it shares with others."""
-    rows = nodes.select("node", "sig").mapInArrow(_bands, "bucket long, node binary")
-    rank = F.struct(F.xxhash64("bucket", "node").alias("r"), F.col("node").alias("node"))
-    centres = (
-        rows.groupBy("bucket").agg(F.min(rank)["node"].alias("centre"), F.max(rank)["node"].alias("other"))
-        .filter(F.col("centre") != F.col("other")).select("bucket", "centre")
+    """a, b: each node with the centre of each bucket that it shares with others.
+    Buckets hold 64-bit short names; should two nodes share one, both are paired."""
+    named = nodes.select("node", "sig", F.xxhash64("node").alias("short"))
+    rows = named.select("short", "sig").mapInArrow(_bands, "bucket long, short long")
+    rank = F.xxhash64("bucket", "short")
+    shared_ = (
+        rows.groupBy("bucket").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter(F.col("low") != F.col("high")).select("bucket", "low")
     )
+    members = cut(rows.join(shared_, "bucket").select("bucket", "short", (rank == F.col("low")).alias("centre")))
+    centres = members.filter("centre").select("bucket", F.col("short").alias("c"))
+    pairs = members.filter("not centre").join(centres, "bucket").select("short", "c").distinct()
+    full = named.select("node", "short")
     return (
-        rows.join(centres, "bucket").filter(F.col("node") != F.col("centre"))
-        .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+        pairs.join(full.withColumnRenamed("node", "x"), "short")
+        .join(full.select(F.col("node").alias("y"), F.col("short").alias("c")), "c")
+        .filter(F.col("x") != F.col("y"))
+        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     )
 
 
@@ -160,7 +166,7 @@ def _set_of(shingle: int):
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """node, shingles of ``nodes`` (node, rep: the id of a document that has it)."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    known = texts.join(nodes.filter("rep is not null"), "rep").select("node", "text")
+    known = texts.join(small(nodes.filter("rep is not null"), SMALL_NODES), "rep").select("node", "text")
     # A node all of whose ids are null is found among the documents without id.
     lost = (
         docs.filter("doc_id is null").select("doc_id", "text").join(nodes.filter("rep is null").select("node"), F.lit(True)).select("node", "text")
@@ -263,13 +269,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     rows = cut(signed(docs, shingle, seed))
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig")))
     stars = cut(star_pairs(nodes))
-    clusters = cut(components(stars))
-    sets = cut(shingle_sets(docs, clusters.select("node").join(nodes.select("node", "rep"), "node"), shingle))
-    links = cut(verified(stars, sets, threshold))
-    comps = cut(components(links))
-    more = cut(remaining_links(nodes, clusters, comps, sets, threshold))
+    n = stars.count()
+    clusters = cut(components(stars, n), 2 * n)
+    sets = cut(shingle_sets(docs, cut(clusters.select("node").join(nodes.select("node", "rep"), "node"), 2 * n), shingle))
+    links = cut(verified(stars, sets, threshold), n)
+    comps = cut(components(links, n), 2 * n)
+    more = cut(remaining_links(nodes, clusters, comps, sets, threshold), n)
     if more.limit(1).count():
-        comps = cut(components(comps.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more).unionByName(links)))
+        comps = cut(components(comps.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), 3 * n), 2 * n)
     labelled = nodes.select("node", "rep").join(comps, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component"))
     named = labelled.join(smallest, "label").select(F.col("node").alias("m_node"), "component")
