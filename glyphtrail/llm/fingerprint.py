@@ -81,45 +81,192 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 
 
 def _walk(chars: list[np.ndarray]) -> list[np.ndarray]:
-    """``chars`` by falling length. A walk ends where its pointer leaves the text or after 3 n steps."""
+    """The walks of texts by falling length, one column each."""
     lengths = np.array([len(c) for c in chars], np.int64)
-    flat = np.concatenate([*chars, np.zeros(1, np.uint8)])
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    classes = [size_class(int(n)) for n in lengths]
-    steps = int(3 * lengths.max()) if len(lengths) else 0
+    steps = int(3 * lengths[0])
+    # Each text is followed by a pad that no coin moves on from.
+    flat = np.concatenate([np.append(c, np.uint8(0)) for c in chars])
+    first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     wrote = np.zeros((steps, len(chars)), np.uint8)
-    lanes = np.arange(len(chars))[lengths > 0]
-    pointer, end, limit = first[lanes], first[lanes] + lengths[lanes], 3 * lengths[lanes]
-    full = len(lanes) == len(chars)
+    # Texts are by falling length, so those still walking at step j < 3 n are the first ones.
+    walking = np.searchsorted(-3 * lengths, -np.arange(steps), "left")
+    pointer = first.copy()
     for j in range(steps):
-        if not len(lanes):
+        at = pointer[: walking[j]]
+        c = flat[at]
+        wrote[j, : walking[j]] = c
+        at += _coins[j % PERIOD][c]
+        if j & 63 == 63 and not c.any():
             break
-        c = flat[pointer]
-        if full:
-            wrote[j] = c
-        else:
-            wrote[j, lanes] = c
-        pointer = pointer + _coins[j % PERIOD][c]
-        if j & 15 == 15 or len(lanes) < 64:
-            going = (pointer < end) & (j + 1 < limit)
-            if not going.all():
-                lanes, pointer, end, limit = lanes[going], pointer[going], end[going], limit[going]
-                full = False
-        else:
-            # A walk that has just ended reads its last place's successor until it is taken out;
-            # what it writes then is wiped below.
-            pointer = np.minimum(pointer, end)
-    return [_kept(wrote[:, i], _reached(flat[first[i] : first[i] + lengths[i]]), classes[i]) for i in range(len(chars))]
-
-
-def _reached(text: np.ndarray) -> int:
-    return 3 * len(text)
-
-
-def _kept(walk: np.ndarray, reached: int, k: int) -> np.ndarray:
-    at = sample(k)
-    here = at[: np.searchsorted(at, min(reached, len(walk)))]
-    out = np.zeros(len(at), np.uint8)
-    w = walk[here]
-    out[: len(here)] = np.where(w > 0, (w % 15) + 1, 0)
+    out = []
+    for i, n in enumerate(lengths):
+        at = sample(size_class(int(n)))
+        kept = np.zeros(len(at), np.uint8)
+        here = at[: np.searchsorted(at, 3 * n)]
+        w = wrote[here, i]
+        kept[: len(here)] = np.where(w > 0, w % 15 + 1, 0)
+        out.append(kept)
     return out
+
+
+def encode(n: int, kept: np.ndarray) -> str:
+    """Two digits of size class, a colon, and a hex digit for each kept symbol (0: pad)."""
+    return f"{size_class(n):02d}:" + _HEX[kept].tobytes().decode()
+
+
+def decode(fingerprint: str) -> tuple[int, np.ndarray]:
+    digits = np.frombuffer(fingerprint[3:].encode(), np.uint8)
+    return int(fingerprint[:2]), np.where(digits >= 97, digits - 87, digits - 48).astype(np.uint8)
+
+
+def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+    """Share of equal symbols of two (class, kept symbols)."""
+    if a[0] > b[0]:
+        a, b = b, a
+    x, y = a[1], b[1]
+    if a[0] < b[0]:
+        # The larger class keeps fewer of the smaller one's positions, and positions beyond it.
+        far = sample(b[0])
+        near = far[far < 3 << a[0]]
+        x = np.concatenate([x[np.searchsorted(sample(a[0]), near)], np.zeros(len(far) - len(near), np.uint8)])
+    used = (x > 0) | (y > 0)
+    return float((x[used] == y[used]).mean()) if used.any() else 1.0
+
+
+def edited(text: str, other: str) -> str:
+    """``text`` with its last quarter replaced by as much of the beginning of ``other``."""
+    quarter = len(text) // 4
+    return text[: len(text) - quarter] + other[:quarter]
+
+
+_DONE = pa.schema(
+    [("kind", pa.string()), ("part", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
+     ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())]
+)
+_DONE_SQL = "kind string, part long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+#: Characters of texts that are worked on at once.
+PART_CHARS = 1 << 21
+
+
+def _compare(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
+    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+    # Rows in sequence share texts: the next document of one row is the next row's own.
+    distinct = {t: i for i, t in enumerate(dict.fromkeys([*texts, *changed, *following]))}
+    kept = fingerprints(list(distinct))
+    of = lambda t: (size_class(len(t)), kept[distinct[t]])
+    return [
+        ("done", None, d, len(t), hashlib.sha256(c.encode()).hexdigest(), encode(len(t), of(t)[1]), encode(len(c), of(c)[1]),
+         likeness(of(t), of(c)), likeness(of(t), of(f)), None)
+        for d, t, c, f in zip(ids, texts, changed, following, strict=True)
+    ]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DONE, strict=True)], schema=_DONE)
+
+
+def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted partition against the row that follows; the first row's text
+    is given out as ``head``, the last row, whose successor is elsewhere, as ``tail``."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    ids: list = []
+    texts: list[str] = []
+    started, held = False, 0
+    for batch in batches:
+        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            t = t or ""
+            if not started:
+                started = True
+                yield _batch([("head", part, d, None, None, None, None, None, None, t)])
+            ids.append(d)
+            texts.append(t)
+            held += len(t)
+            if len(texts) > 1 and (len(texts) >= 4096 or held >= PART_CHARS):
+                yield _batch(_compare(ids[:-1], texts[:-1], texts[1:]))
+                ids, texts, held = ids[-1:], texts[-1:], len(t)
+    if started:
+        if len(texts) > 1:
+            yield _batch(_compare(ids[:-1], texts[:-1], texts[1:]))
+        yield _batch([("tail", part, ids[-1], None, None, None, None, None, None, texts[-1])])
+
+
+def _last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _batch(_compare(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")]))
+
+
+def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """A row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. The texts move once, into ranges of ids;
+    only the first and last row of each range meet again, by the ranges' order."""
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key"), F.col("row")]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
+    done = cut(
+        rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_in_sequence, _DONE_SQL)
+    )
+    # One row per range: these windows see ranges, not documents.
+    heads = done.filter("kind = 'head'")
+    follows = heads.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part"))
+    last = (
+        done.filter("kind = 'tail'").select("part", "doc_id", "text")
+        .join(follows, "part")
+        .join(heads.select(F.col("part").alias("next_part"), F.col("text").alias("following")), "next_part")
+        .select("doc_id", "text", "following")
+        .mapInArrow(_last_rows, _DONE_SQL)
+    )
+    return done.filter("kind = 'done'").unionByName(last).drop("kind", "part", "text")
+
+
+def _only_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        out: list[str] = []
+        at = 0
+        while at < len(texts):
+            stop, chars = at + 1, len(texts[at])
+            while stop < len(texts) and chars < PART_CHARS:
+                chars += len(texts[stop])
+                stop += 1
+            out += [encode(len(t), k) for t, k in zip(texts[at:stop], fingerprints(texts[at:stop]), strict=True)]
+            at = stop
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint of each row."""
+    return docs.select("doc_id", "text").mapInArrow(_only_fingerprint, "doc_id long, fingerprint string")
+
+
+def banded(prints: DataFrame, bands: int = BANDS, width: int = BAND_SYMBOLS) -> DataFrame:
+    """doc_id, bucket: a text is in a bucket for each band of sampled symbols, by size class.
+    Bands take symbols at the same places in every fingerprint of a class."""
+    draw = np.random.Generator(np.random.PCG64(SEED + 1)).random((bands, width))
+    symbol = lambda r: F.substring("fingerprint", 4, 1 << 30).substr(F.floor(F.lit(float(r)) * (F.length("fingerprint") - 3)).cast("int") + 1, F.lit(1))
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", 1, 2), *[symbol(r) for r in row]) for b, row in enumerate(draw)])
+    return prints.select("doc_id", F.explode(keys).alias("bucket"))
+
+
+def near_pairs(docs: DataFrame, max_edits: int = 64) -> DataFrame:
+    """a, b, edits: each document with one centre (smallest id) of its buckets, where at
+    most ``max_edits`` edits lead from one text to the other. Texts of different size
+    class are not compared; copies of a text stand for each other by the smallest id."""
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    firsts = cut(texts.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")))
+    one = texts.join(firsts, "doc_id").filter(F.sha2("text", 256) == F.col("key")).select("doc_id", "text").dropDuplicates(["doc_id"])
+    rows = cut(banded(fingerprint_documents(one)))
+    centres = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("bucket", "a")
+    pairs = rows.join(centres, "bucket").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    near = (
+        pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+        .join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        .select("a", "b", F.levenshtein("x", "y", max_edits).cast("long").alias("edits"))
+    )
+    return near.filter("edits >= 0")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, neardup, quality, secrets, sharding, toxicity
+from . import decontaminate, fingerprint, langid, linededup, mixing, neardup, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.query,
     "op2_toxicity": toxicity.query,
+    "op3_fingerprint": fingerprint.query,
     "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
     "op6_mixing": mixing.query,
     "op7_sharding": sharding.query,
+    "op8_langid": langid.query,
     "op9_secrets": secrets.query,
     "op10_linededup": linededup.query,
 }
