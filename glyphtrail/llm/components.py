@@ -12,7 +12,7 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60)
     """node, label (the smallest node that it reaches) of each node in ``edges``
     (a, b), by alternating large-star and small-star steps: each round points every
     node at the smallest neighbour it knows, until nothing changes. Edges are written
-    after each round; a hub's minimum is taken by partial aggregation, and its rows
+    after each round; a hub's minimum is taken by partial aggregation, written, and its rows
     meet it by a join whose hot partitions can be split. ``rows``: the number of edges,
     if it is known."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
@@ -22,11 +22,11 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60)
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), 2 * mark[0])
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.filter(F.col("m") < F.col("a")).select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         down = cut(large, 2 * mark[0])
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(down.groupBy("a").agg(F.min("b").alias("m")), 2 * mark[0])
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = cut(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 2 * mark[0])
         was, mark = mark, _mark(e)

@@ -272,13 +272,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     n = stars.count()
     clusters = cut(components(stars, n), 2 * n)
     sets = cut(shingle_sets(docs, cut(clusters.select("node").join(nodes.select("node", "rep"), "node"), 2 * n), shingle))
-    links = cut(verified(stars, sets, threshold), n)
+    links = cut(verified(stars, sets, threshold))
     comps = cut(components(links, n), 2 * n)
-    more = cut(remaining_links(nodes, clusters, comps, sets, threshold), n)
+    more = cut(remaining_links(nodes, clusters, comps, sets, threshold))
     if more.limit(1).count():
         comps = cut(components(comps.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), 3 * n), 2 * n)
     labelled = nodes.select("node", "rep").join(comps, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    # Written first, so that a hot component is split in the join.
+    smallest = cut(labelled.groupBy("label").agg(F.min("rep").alias("component")))
     named = labelled.join(smallest, "label").select(F.col("node").alias("m_node"), "component")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return (
