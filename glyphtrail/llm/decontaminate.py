@@ -27,8 +27,10 @@ from .common import SPACE, cut, small, table
 SHINGLE = 5
 THRESHOLD = 75
 SEED = 5
-#: Rows up to which minima, items and candidates are broadcast; beyond, they are shuffled.
+#: Rows of ids up to which minima and candidates are broadcast; beyond, they are shuffled.
 SMALL_ROWS = 200_000
+#: Items, with their shingles, are broadcast up to this many rows.
+SMALL_ITEMS = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -115,10 +117,11 @@ def contaminated(
     candidates = cut(
         found.join(small(probes, SMALL_ROWS), "value").filter(upper > F.col("need")).select("doc_id", "item_id").distinct()
     )
-    pairs = candidates.join(small(items, SMALL_ROWS), "item_id").withColumnRenamed("doc_id", "c_id")
-    wanted = small(pairs, SMALL_ROWS)
+    # Pairs of ids find their texts; the items' shingles join them after that.
+    wanted = small(candidates.withColumnRenamed("doc_id", "c_id"), SMALL_ROWS)
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    checked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id"))).withColumn("_w", words_of(F.col("text")))
+    checked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id"))).join(small(items, SMALL_ITEMS), "item_id")
+    checked = checked.withColumn("_w", words_of(F.col("text")))
     here = F.coalesce(*[F.when(F.col("gram") == s, grams(F.col("_w"), s)) for s in range(1, SHINGLE + 1)])
     return (
         # Filtered after the aggregation: pushed below it, the shared count would be
