@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 Z = 1.959963984540054
@@ -94,12 +95,12 @@ def mcnemar_exact(b: int, c: int) -> tuple[float, float]:
     return min(1.0, math.exp(log_p)), log_p / math.log(10)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_two_sided(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("struct<p:double,log10_p:double>")
+@F.pandas_udf(StructType([StructField("p", DoubleType()), StructField("log10_p", DoubleType())]))
 def mcnemar(b: pd.Series, c: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([mcnemar_exact(int(x), int(y)) for x, y in zip(b, c, strict=True)], columns=["p", "log10_p"])
 

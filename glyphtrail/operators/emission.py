@@ -86,7 +86,7 @@ def generation_grid(models: DataFrame, stages: DataFrame, conditions: DataFrame)
     """Every model, stage, condition, prompt and seed: the seeds of a stage and condition
     are ``seeds``, one for the last condition."""
     return (
-        models.crossJoin(stages).crossJoin(conditions)
+        models.crossJoin(F.broadcast(stages)).crossJoin(F.broadcast(conditions))
         .withColumn("prompt_idx", F.explode(F.sequence(F.lit(0), F.col("n_prompts") - 1)))
         .withColumn("seed", F.explode(F.sequence(F.lit(0), F.least("stage_seeds", "condition_seeds") - 1)))
     )

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import attribution_queries, corpus_queries, emission_queries, text_queries  # noqa: F401
+from . import attribution_queries, corpus_queries, emission_queries, stream_queries, text_queries, validation_queries  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

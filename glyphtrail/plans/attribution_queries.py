@@ -83,9 +83,6 @@ def novelty(spark, d):
     return A.novelty(answers(spark, d), spans(spark, d))
 
 
-GRAM = "the and of"
-
-
 @query(
     "ngram_count",
     f"""WITH dt AS (SELECT doc_id, regexp_extract_all(text, {WORD}) AS w FROM documents), p AS (SELECT unnest(['of the', 'in the', 'the', 'All rights reserved', 'zzz none']) AS phrase),

@@ -196,7 +196,7 @@ def fixed_batches(spark, d):
 _DRAW = "md5('{}:' || doc_id)"
 
 
-@query("stratified_sample", S.ctes("generations") + f" SELECT doc_id, model, stage, condition, row_number() OVER w AS draw FROM generations QUALIFY row_number() OVER w <= 2 WINDOW w AS (PARTITION BY model, stage, condition ORDER BY {_DRAW.format(7)}, doc_id)")
+@query("stratified_sample", S.ctes("generations") + f" SELECT doc_id, model, stage, condition, row_number() OVER (PARTITION BY model, stage, condition ORDER BY {_DRAW.format(7)}, doc_id) AS draw FROM generations QUALIFY draw <= 2")
 def stratified_sample(spark, d):
     return sampling.per_stratum(generations(spark, d), ["model", "stage", "condition"], "doc_id", 2, 7).select("doc_id", "model", "stage", "condition", F.col("draw").cast("long").alias("draw"))
 
