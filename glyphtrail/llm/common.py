@@ -33,6 +33,15 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``df``, a result of ``cut``, without the planner's estimate of its size. The estimate of a join
+    is a product, and ``checkpoint`` hands it on: in a loop of joins its digits double
+    every round, until they fill the driver."""
+    spark = df.sparkSession
+    rows = spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema())
+    return DataFrame(rows, spark)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it
     is, for the planner to shuffle. ``df`` should be cheap to count."""

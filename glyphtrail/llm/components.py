@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 
 def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60)
     meet it by a join whose hot partitions can be split. ``rows``: the number of edges,
     if it is known."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
-    e = cut(e, rows)
+    e = fresh(cut(e, rows))
     mark = _mark(e)
     for _ in range(max_rounds):
         if not mark[0]:
@@ -28,7 +28,7 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60)
         down = cut(large, 2 * mark[0])
         low = cut(down.groupBy("a").agg(F.min("b").alias("m")), 2 * mark[0])
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = cut(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 2 * mark[0])
+        e = fresh(cut(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 2 * mark[0]))
         was, mark = mark, _mark(e)
         if was == mark:
             break
