@@ -37,7 +37,7 @@ LEAST_CLASS = 5
 #: Coins repeat after so many steps.
 PERIOD = 8191
 #: Symbols of the walks of one group of texts, steps times texts.
-GROUP_CELLS = 24 << 20
+GROUP_CELLS = 4 << 20
 BANDS, BAND_SYMBOLS = 24, 8
 
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -144,8 +144,16 @@ _DONE = pa.schema(
      ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())]
 )
 _DONE_SQL = "kind string, part long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
-#: Characters of texts that are worked on at once.
-PART_CHARS = 1 << 21
+#: Characters and rows of texts that are worked on at once, and rows taken from Arrow at once.
+PART_CHARS, PART_ROWS = 1 << 19, 2048
+SLICE = 256
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield list(zip(*[part.column(c).to_pylist() for c in columns], strict=True))
 
 
 def _compare(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
@@ -174,8 +182,8 @@ def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list = []
     texts: list[str] = []
     started, held = False, 0
-    for batch in batches:
-        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+    for rows in _rows(batches, "doc_id", "text"):
+        for d, t in rows:
             t = t or ""
             if not started:
                 started = True
@@ -183,7 +191,7 @@ def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(d)
             texts.append(t)
             held += len(t)
-            if len(texts) > 1 and (len(texts) >= 4096 or held >= PART_CHARS):
+            if len(texts) > 1 and (len(texts) >= PART_ROWS or held >= PART_CHARS):
                 yield _batch(_compare(ids[:-1], texts[:-1], texts[1:]))
                 ids, texts, held = ids[-1:], texts[-1:], len(t)
     if started:
@@ -193,9 +201,8 @@ def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield _batch(_compare(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")]))
+    for rows in _rows(batches, "doc_id", "text", "following"):
+        yield _batch(_compare(*map(list, zip(*rows, strict=True))))
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -222,18 +229,10 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def _only_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        out: list[str] = []
-        at = 0
-        while at < len(texts):
-            stop, chars = at + 1, len(texts[at])
-            while stop < len(texts) and chars < PART_CHARS:
-                chars += len(texts[stop])
-                stop += 1
-            out += [encode(len(t), k) for t, k in zip(texts[at:stop], fingerprints(texts[at:stop]), strict=True)]
-            at = stop
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
+    for rows in _rows(batches, "doc_id", "text"):
+        ids, texts = [d for d, _ in rows], [t or "" for _, t in rows]
+        out = [encode(len(t), k) for t, k in zip(texts, fingerprints(texts), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
