@@ -58,7 +58,7 @@ def starts_of(low: Column, phrase: str) -> Column:
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda s, p: F.struct(
             (s["at"] + F.length(p)).alias("at"),
-            F.when(p.startswith(phrase), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
+            F.when((s["at"] > 0) | low.startswith(phrase), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
         ),
         lambda s: s["out"],
     )

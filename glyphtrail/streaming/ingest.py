@@ -31,10 +31,16 @@ def flagged(answers: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     )
 
 
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    """A stream's watermark needs a time with zone; a batch is as it is."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "2 hours") -> DataFrame:
     """Events, users' values by window and type; late rows beyond ``delay`` are left out."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", delay)
+    events = _timed(events, delay)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
         events.groupBy(window.alias("w"), "event_type")
@@ -45,8 +51,7 @@ def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
     """A user's events with pauses below ``gap``."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", delay)
+    events = _timed(events, delay)
     return (
         events.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n"))
         .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
