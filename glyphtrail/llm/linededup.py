@@ -6,7 +6,8 @@ leading ``DEPTH`` masked tokens; a leaf holds the lines that agree in these. Ins
 leaf that enough texts reach, the template is generalised: a position keeps its token
 where at least ``SHARE`` percent of the leaf's lines have it, else it becomes ``<*>``; a
 leaf template counts if at least ``FIXED`` percent of its positions, and more than the
-leading ones, stay fixed. A masked line that recurs by itself is a template too. A template found in at
+leading ones, stay fixed. A line that recurs by itself is a template too: as masked, or
+as it is where fewer than ``FIXED`` percent of its tokens would be fixed. A template found in at
 least ``MIN_TEXTS`` distinct texts is boilerplate: its lines are dropped in every document but the
 first (smallest id) that has it. Exact copies of a document count as one text, so being
 copied does not make a document boilerplate.
@@ -47,11 +48,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line: doc_id, text_key, at, tokens, n, leaf, line_key."""
     texts = docs.select("doc_id", F.xxhash64("text", F.crc32("text")).alias("text_key"), "text")
     lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    fixed = F.size("tokens") - F.when(F.col("line").rlike("[0-9@]|://"), F.size(F.filter("tokens", lambda t: t == WILD))).otherwise(0)
+    mostly_fixed = fixed * 100 >= F.size("tokens") * FIXED
     return lines.withColumn("tokens", tokens_of(F.col("line"))).select(
         "doc_id", "text_key", "at", "tokens",
         F.size("tokens").alias("n"),
         F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
-        F.xxhash64(F.size("tokens"), "tokens").alias("line_key"),
+        F.when(mostly_fixed, F.xxhash64(F.size("tokens"), "tokens")).otherwise(F.xxhash64("line")).alias("line_key"),
     )
 
 
@@ -138,7 +141,7 @@ ORACLE = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 x AS (SELECT rid, doc_id, md5(text) AS tk, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d WHERE text IS NOT NULL),
 l AS MATERIALIZED (SELECT * FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '{VARIABLE}', '{WILD}', 'g'), '{SPACE}+'), lambda t: t <> '') AS w FROM x) WHERE len(w) >= {MIN_TOKENS}),
-k AS MATERIALIZED (SELECT *, len(w) AS n, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf, array_to_string(w, ' ') AS lk FROM l),
+k AS MATERIALIZED (SELECT *, len(w) AS n, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf, CASE WHEN 100 * len(list_filter(w, lambda t: t <> '{WILD}')) >= {FIXED} * len(w) THEN array_to_string(w, ' ') ELSE 'raw: ' || line END AS lk FROM l),
 lv AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT tk) >= {MIN_TEXTS}),
 c AS (SELECT leaf, n, p, w[p] AS token, count(*) AS c FROM (SELECT leaf, n, w, unnest(range(1, n + 1)) AS p FROM k SEMI JOIN lv USING (leaf)) GROUP BY ALL),
 s AS (SELECT leaf, n, p, sum(c) AS total, max(c) AS c, arg_max(token, (c, token)) AS token FROM c GROUP BY leaf, n, p),
