@@ -53,12 +53,14 @@ def starts_of(low: Column, phrase: str) -> Column:
 
     none = F.array().cast("array<int>")
     pieces = F.split(low, f"(?={escape(phrase)})")
+    # Every piece but the first begins with an occurrence; the first one's test is made once.
     walk = F.aggregate(
         pieces,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        F.struct(F.lit(0).alias("at"), low.startswith(phrase).alias("hit"), none.alias("out")),
         lambda s, p: F.struct(
             (s["at"] + F.length(p)).alias("at"),
-            F.when((s["at"] > 0) | low.startswith(phrase), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
+            F.lit(True).alias("hit"),
+            F.when(s["hit"], F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
         ),
         lambda s: s["out"],
     )
