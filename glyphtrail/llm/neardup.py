@@ -241,7 +241,7 @@ def remaining_links(nodes: DataFrame, clusters: DataFrame, comps: DataFrame, set
     ).withColumn("comp", F.coalesce("comp", "node"))
     sizes = member.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
     # Components of half a tile and more get tiles of their own; the others of a cluster share tiles.
-    sizes = sizes.withColumn("own", F.when(F.col("size") * 2 >= tile, F.col("comp")))
+    sizes = cut(sizes.withColumn("own", F.when(F.col("size") * 2 >= tile, F.col("comp"))))
     room = sizes.groupBy("cluster", "own").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps"))
     open_ = room.groupBy("cluster").agg(F.sum("comps").alias("comps")).filter("comps > 1").select("cluster")
     room = cut(room.join(open_, "cluster", "left_semi").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphtrail.llm import components, neardup
 from glyphtrail.llm import textops as T
@@ -55,7 +56,7 @@ def test_large_group_of_near_copies(spark):
 def test_links_that_no_star_shows(spark, tile):
     data = [r for r in rows(3) if r[0] is not None]
     df = docs(spark, data)
-    nodes = neardup.signed(df).filter("node is not null").groupBy("node").agg({"doc_id": "min", "sig": "max"}).toDF("node", "rep", "sig")
+    nodes = neardup.signed(df).filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"))
     clusters = nodes.selectExpr("node", "cast('one' as binary) as label")
     none = nodes.limit(0).selectExpr("node", "node as label")
     sets = neardup.shingle_sets(df, nodes.select("node", "rep"))
