@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small, table
+from .common import SPACE, cut, row_key, small, table
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -136,8 +136,10 @@ def contaminated(
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    bad = cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(small(bad, SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    keyed = docs.withColumn("_key", row_key())
+    same = keyed.select(F.col("_key").alias("doc_id"), "text")
+    bad = cut(contaminated(same, benchmark, **options).select(F.col("doc_id").alias("_key")).distinct())
+    return keyed.join(small(bad, SMALL_ROWS), "_key", "left_anti").drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ LEAST_CLASS = 5
 #: Coins repeat after so many steps.
 PERIOD = 8191
 #: Symbols of the walks of one group of texts, steps times texts.
-GROUP_CELLS = 24 << 20
+GROUP_CELLS = 8 << 20
 BANDS, BAND_SYMBOLS = 24, 8
 
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -145,7 +145,7 @@ _DONE = pa.schema(
 )
 _DONE_SQL = "kind string, part long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
 #: Characters and rows of texts that are worked on at once, and rows taken from Arrow at once.
-PART_CHARS, PART_ROWS = 6 << 20, 8192
+PART_CHARS, PART_ROWS = 3 << 20, 8192
 SLICE = 256
 
 

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
-from .textops import U64, blocks, mix
+from .common import cut, row_key, small, table
+from .textops import U64, blocks, mix, pieces, texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -66,17 +66,13 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[mid], (mix(code) & U64(BUCKETS - 1)).astype(np.int64), n_letters
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"" if t is None else t for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-
-
 def _count(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {v: i for i, v in enumerate(languages)}
         total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             lang = np.array([at[v] for v in batch.column("declared").to_pylist()], np.int64)
-            for first, part in blocks(_texts(batch)):
+            for first, part in blocks(texts_of(batch)):
                 owner, bucket, _ = trigrams(part)
                 total += np.bincount(lang[first + owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         which, bucket = np.nonzero(total)
@@ -87,9 +83,9 @@ def _count(languages: list[str]):
 
 def _likelihoods(log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows, letters = [], []
-            for _, part in blocks(_texts(batch)):
+            for _, part in blocks(texts_of(batch)):
                 owner, bucket, n_letters = trigrams(part)
                 grams = np.maximum(1, np.bincount(owner, minlength=len(part)))
                 ll = np.stack([np.bincount(owner, p[bucket], len(part)) for p in log_p], axis=1)
@@ -134,10 +130,6 @@ def _votes(n: int) -> list[Column]:
     return [F.sum(F.when(F.col("vote") == i, 1).otherwise(0)).cast("double") for i in range(n)]
 
 
-def _array(values: list[Column]) -> Column:
-    return F.array(*values)
-
-
 def _smoothed(n: Column, weight: float):
     return lambda votes, coarser: (votes + F.lit(weight) * coarser) / (n + F.lit(weight))
 
@@ -155,23 +147,25 @@ def identify(rows: DataFrame) -> DataFrame:
         .withColumn("vote", F.when(F.col("letters") >= VOTE_LETTERS, F.array_position("ll", F.array_max("ll")) - 1).cast("int"))
     )
     zeros = F.array(*[F.lit(0.0)] * n)
-    whole = cut(seen.agg(_array(_votes(n)).alias("all_votes")), 1)
-    share = F.transform("all_votes", lambda v: (v + 1.0) / (F.aggregate("all_votes", F.lit(0.0), lambda a, b: a + b) + float(n)))
+    # One number a language, at most MAX_LANGUAGES.
+    every = [v or 0.0 for v in seen.agg(F.array(*_votes(n)).alias("v")).first().v]
+    all_votes = F.array(*[F.lit(v) for v in every])
+    share = F.array(*[F.lit((v + 1.0) / (sum(every) + n)) for v in every])
 
     def evidence(column: str) -> DataFrame:
         """log P(value | language) of each value of ``column``, by language."""
-        by = seen.filter("vote is not null").groupBy(column).agg(_array(_votes(n)).alias("v"))
-        out = by.crossJoin(F.broadcast(whole)).select(
+        by = seen.filter("vote is not null").groupBy(column).agg(F.array(*_votes(n)).alias("v"))
+        out = by.select(
             F.col(column).alias(f"{column}_value"),
-            F.zip_with("v", "all_votes", lambda a, b: F.log((a + SMOOTH) / (b + 20 * SMOOTH))).alias(f"{column}_log"),
+            F.zip_with("v", all_votes, lambda a, b: F.log((a + SMOOTH) / (b + 20 * SMOOTH))).alias(f"{column}_log"),
         )
         return small(cut(out), SMALL_ROWS)
 
     def counts(column: str) -> DataFrame:
-        out = seen.filter("vote is not null").groupBy(column).agg(_array(_votes(n)).alias(f"{column}_votes")).withColumnRenamed(column, f"{column}_name")
+        out = seen.filter("vote is not null").groupBy(column).agg(F.array(*_votes(n)).alias(f"{column}_votes")).withColumnRenamed(column, f"{column}_name")
         return small(cut(out), SMALL_ROWS)
 
-    out = seen.crossJoin(F.broadcast(whole.select(share.alias("share"))))
+    out = seen.withColumn("share", share)
     for column in ("declared", "suffix"):
         out = out.join(evidence(column), F.col(column).eqNullSafe(F.col(f"{column}_value")), "left")
     for column in ("host", "domain"):
@@ -221,8 +215,10 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are rejected."""
-    gone = cut(identify(of_documents(docs)).filter(F.col("language") == UNKNOWN).select(F.col("id.doc_id").alias("u_id")).distinct())
-    return docs.join(small(gone, SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("u_id")), "left_anti")
+    keyed = docs.withColumn("_key", row_key())
+    found = identify(of_documents(keyed.withColumn("doc_id", F.col("_key"))))
+    gone = cut(found.filter(F.col("language") == UNKNOWN).select(F.col("id.doc_id").alias("_key")).distinct())
+    return keyed.join(small(gone, SMALL_ROWS), "_key", "left_anti").drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, small, table
+from .common import WORD, cut, row_key, small, table
 
 SEED = 11
 MAX_EPOCHS = 3
@@ -104,14 +104,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, the one at a
     source's cut as a whole row. Ids are taken as unique (after deduplication)."""
-    taken = mix(docs, **options).filter("taken > 0").groupBy("doc_id").agg(
-        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times")
-    ).withColumnRenamed("doc_id", "m_id")
-    return (
-        docs.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")))
-        .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select(*docs.columns)
-    )
+    keyed = docs.withColumn("_key", row_key())
+    taken = mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), **options).filter("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    return keyed.join(times, "_key").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

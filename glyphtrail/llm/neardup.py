@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, row_key, small, table
 from .components import components
-from .textops import SHINGLE, U64, Words, blocks, mix, shared
+from .textops import SHINGLE, U64, Words, blocks, mix, pieces, shared, texts_of
 
 THRESHOLD = 75
 ROWS, BANDS = 4, 32
@@ -87,18 +87,14 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
-    return [None if t is None else bytes(t) for t in column.cast(pa.large_binary()).to_pylist()]
-
-
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
 
 def _sign(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, sizes, sigs = [], [], []
-            for _, part in blocks(_texts(batch.column("text"))):
+            for _, part in blocks(texts_of(batch)):
                 words = Words([p.lower() for p in part])
                 for i in range(len(part)):
                     s = words.shingles(i, shingle)
@@ -148,15 +144,18 @@ def star_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _set_of(shingle: int):
+    """(node, text) to (node, shingles): rows of another node than the one asked for go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             wanted, nodes, sets = batch.column("node").to_pylist(), [], []
-            for at, part in blocks(_texts(batch.column("text"))):
+            for at, part in blocks(texts_of(batch)):
                 words = Words([p.lower() for p in part])
                 for i in range(len(part)):
                     s = words.shingles(i, shingle)
-                    if len(s) and set_key(s) == wanted[at + i]:
-                        nodes.append(wanted[at + i])
+                    key = set_key(s) if len(s) else None
+                    if key and wanted[at + i] in (None, key):
+                        nodes.append(key)
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -164,17 +163,13 @@ def _set_of(shingle: int):
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """node, shingles of ``nodes`` (node, rep: the id of a document that has it)."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    """node, shingles of ``nodes`` (node, rep: the id of a document that has it). A node all
+    of whose ids are null is found among the documents without id."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
     known = texts.join(small(nodes.filter("rep is not null"), SMALL_NODES), "rep").select("node", "text")
-    # A node all of whose ids are null is found among the documents without id.
-    lost = (
-        docs.filter("doc_id is null").select("doc_id", "text").join(nodes.filter("rep is null").select("node"), F.lit(True)).select("node", "text")
-        if nodes.filter("rep is null").limit(1).count()
-        else None
-    )
-    rows = known if lost is None else known.unionByName(lost)
-    return rows.mapInArrow(_set_of(shingle), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    lost = docs.filter("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text")
+    sets = known.unionByName(lost).mapInArrow(_set_of(shingle), "node binary, shingles binary")
+    return sets.groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes.select("node"), "node", "left_semi")
 
 
 def _verify(threshold: int):
@@ -290,9 +285,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component; of equal ids one row stays."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component, the one of the smallest id; of equal
+    ids one row stays, and rows without id stand behind those with one."""
+    keyed = docs.withColumn("_key", row_key())
+    same = keyed.select(F.col("_key").alias("doc_id"), "text")
+    kept = near_duplicates(same, **options).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 SHINGLE = 5
@@ -119,6 +120,18 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller ones, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The UTF-8 bytes of a string column; null is empty."""
+    return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
 class Spans:
     """Hashes of any byte spans of several texts, bytes mapped by ``table`` first;
     ``runs`` gives the maximal runs of bytes for which ``inside`` holds."""

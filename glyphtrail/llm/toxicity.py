@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, Isotonic
 from .common import table
 from .labelled import held_out, sample
-from .textops import U64, Spans, blocks, byte_class, byte_table, mix
+from .textops import U64, Spans, blocks, byte_class, byte_table, mix, pieces, texts_of
 
 FOLDS, FOLD = 5, 0
 MAX_ROWS, MAX_CHARS = 9000, 20_000
@@ -161,9 +161,8 @@ def score_texts(docs: DataFrame, model) -> DataFrame:
     """doc_id, score of each row, by any model with ``score(list of bytes)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b"" if t is None else t for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            done = [model.score(part) for _, part in blocks(texts)]
+        for batch in pieces(batches):
+            done = [model.score(part) for _, part in blocks(texts_of(batch))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(done) if done else np.zeros(0), pa.float64())], names=["doc_id", "score"]
             )

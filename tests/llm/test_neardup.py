@@ -70,7 +70,7 @@ def test_links_that_no_star_shows(spark, tile):
     expected = {}
     for d, _, c, _ in brute(data):
         if d in rep:
-            expected.setdefault(c, []).append(d)
+            expected.setdefault(c, set()).add(d)
     assert sorted(sorted(v) for v in groups.values()) == sorted(sorted(v) for v in expected.values())
 
 
@@ -85,6 +85,14 @@ def test_deduplicated_keeps_one_of_each(spark):
     assert kept == sorted({d for d, _, _, k in brute(data) if k})
 
 
+def test_rows_without_id_are_told_apart(spark):
+    draw = random.Random(4)
+    own, other = words(draw, 40), words(draw, 40)
+    data = [(1, own, None, None, 0), (None, own, None, None, 0), (None, other, None, None, 0), (None, other, None, None, 0), (None, "", None, None, 0)]
+    kept = neardup.deduplicated(docs(spark, data)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", own), ("None", other), ("None", "")])
+
+
 def test_words_and_shingles():
     for text in ["", " ", "A b\tC\x0bd\ne", "ÄÖ é", "x" * 5000, "one two three four five six"]:
         w = T.Words([text.encode(), b"zz"])
