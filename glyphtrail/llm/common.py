@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: The six characters that part words, as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of ids that a partition holds at least, where their number is known.
-ROWS_A_PART = 100_000
+ROWS_A_PART = 25_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

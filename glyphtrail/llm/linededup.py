@@ -115,7 +115,7 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     gone = dropped_lines(docs.select("doc_id", "text"), min_texts).withColumnsRenamed({"doc_id": "_g_id", "text_key": "_g_key", "drop": "_g_drop"})
     none = F.array().cast("array<int>")
     lines = F.split("text", "\n")
-    # Ids and keys meet on their own, then texts without a dropped line need not be rebuilt.
+    # Texts without a dropped line are not rebuilt.
     out = docs.drop("n_lines", "n_dropped").join(
         gone,
         F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.xxhash64("text", F.crc32("text")) == F.col("_g_key")),
