@@ -68,7 +68,8 @@ def starts_of(low: Column, phrase: str) -> Column:
 
 
 def find_behaviors(low: Column, lexicon: dict[str, list[str]]) -> Column:
-    """Spans of all lexicon occurrences in a lower-cased text, in the lexicon's order."""
+    """Spans of all lexicon occurrences in a lower-cased text, in the lexicon's order. Give
+    a column, not ``lower(text)`` itself, which would be worked out for every phrase."""
 
     def spans(category: str, phrase: str) -> Column:
         span = lambda i: F.struct(F.lit(category).alias("category"), F.lit(phrase).alias("phrase"), i.alias("start"), (i + len(phrase)).alias("end"))
@@ -93,7 +94,8 @@ def any_of(low: Column, phrases: list[str]) -> Column:
 
 
 def word_starts(text: Column, pattern: str = SIMPLE_WORD) -> Column:
-    """Array of (start, word): words alternate with what parts them, so starts are sums of lengths."""
+    """Array of (start, word): words alternate with what parts them, so starts are sums of
+    lengths. The list grows by copies; it is meant for answers, not for books."""
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
     lengths = F.zip_with(gaps, words, lambda g, w: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), w.alias("w")))
@@ -108,6 +110,25 @@ def word_starts(text: Column, pattern: str = SIMPLE_WORD) -> Column:
     )
 
 
+def covered_words(text: Column, spans: Column, pattern: str = SIMPLE_WORD) -> Column:
+    """How many words start inside a span. Spans are merged first; then words are counted in
+    each stretch, but for one that began before it. No list of all words is made."""
+    stretch = "array<struct<start:int,end:int>>"
+    ordered = F.array_sort(F.transform(spans, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    merged = F.aggregate(
+        ordered,
+        F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(stretch).alias("out")),
+        lambda m, h: F.when(h["start"] <= m["e"], F.struct(m["s"].alias("s"), F.greatest(m["e"], h["end"]).alias("e"), m["out"].alias("out"))).otherwise(
+            F.struct(h["start"].alias("s"), h["end"].alias("e"), F.concat(m["out"], F.array(F.struct(m["s"].alias("start"), m["e"].alias("end")))).alias("out"))
+        ),
+        lambda m: F.concat(m["out"], F.array(F.struct(m["s"].alias("start"), m["e"].alias("end")))),
+    )
+    inside = lambda x: F.regexp_count(F.substr(text, x["start"] + 1, x["end"] - x["start"]), F.lit(pattern))
+    goes_on = lambda x: (x["start"] > 0) & F.substr(text, x["start"], F.lit(2)).rlike(f"^(?:{pattern})$") & (F.length(F.substr(text, x["start"], F.lit(2))) == 2)
+    counted = F.transform(F.filter(merged, lambda x: x["start"] >= 0), lambda x: inside(x) - F.when(goes_on(x), 1).otherwise(0))
+    return F.aggregate(counted, F.lit(0), lambda a, b: a + b)
+
+
 def bucket_source(path: Column, buckets: list[tuple[str, list[str]]]) -> Column:
     """The first bucket one of whose patterns is in the lower-cased path, else ``other``."""
     low = F.lower(F.coalesce(path, F.lit("")))

@@ -65,10 +65,10 @@ def role_scoping(turns: DataFrame, phrases: list[tuple[str, str]], role: str = "
 def topical_grams(answers: DataFrame, lexicon: dict[str, list[str]], lengths: list[int], stop: list[str], k: int = 3) -> DataFrame:
     """answer_id, length, ord, gram (lower-cased words): the first k distinct n-grams of
     each length that overlap no behaviour phrase and are not stop words only."""
-    base = answers.select(
+    base = answers.select("answer_id", "text", F.lower("text").alias("low")).select(
         "answer_id",
         T.word_starts(F.col("text")).alias("w"),
-        T.find_behaviors(F.lower("text"), lexicon).alias("spans"),
+        T.find_behaviors(F.col("low"), lexicon).alias("spans"),
     )
 
     def of_length(n: int) -> DataFrame:

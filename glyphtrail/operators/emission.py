@@ -22,9 +22,11 @@ def emits(categories: Column, similarities: Column, category: Column, threshold:
 
 def lexicon_flags(generations: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     """``generations`` with a row per category: category, flag (0 or 1)."""
-    low = F.lower("text")
+    low = F.col("_low")
     rows = F.array(*[F.struct(F.lit(c).alias("category"), T.any_of(low, ps).cast("int").alias("flag")) for c, ps in lexicon.items()])
-    return generations.withColumn("_f", F.explode(rows)).select("*", "_f.*").drop("_f", "text")
+    kept = [c for c in generations.columns if c != "text"]
+    lowered = generations.select(*kept, F.lower("text").alias("_low"))
+    return lowered.select(*kept, F.explode(rows).alias("_f")).select(*kept, "_f.*")
 
 
 def prompt_rates(flags: DataFrame) -> DataFrame:

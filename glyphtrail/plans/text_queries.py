@@ -80,7 +80,8 @@ SPANS = f"""spans AS MATERIALIZED (SELECT doc_id, category, phrase,
 
 @query("find_behaviors", f'WITH {LEX}, {SPANS} SELECT doc_id, category, phrase, s::INTEGER AS "start", (s + length(phrase))::INTEGER AS "end" FROM spans')
 def find_behaviors(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(T.find_behaviors(F.lower("text"), L.DEMO)).alias("h")).select("doc_id", "h.*")
+    low = docs(spark, d).select("doc_id", F.lower("text").alias("low"))
+    return low.select("doc_id", F.explode(T.find_behaviors(F.col("low"), L.DEMO)).alias("h")).select("doc_id", "h.*")
 
 
 _PRESENT = ", ".join(f"CASE WHEN {any_of('lower(text)', ps)} THEN '{c}' END" for c, ps in sorted(L.DEMO.items()))
@@ -88,7 +89,8 @@ _PRESENT = ", ".join(f"CASE WHEN {any_of('lower(text)', ps)} THEN '{c}' END" for
 
 @query("lexicon_categories", f"SELECT doc_id, array_to_string(list_filter([{_PRESENT}], lambda x: x IS NOT NULL), ';') AS categories FROM documents")
 def lexicon_categories(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(T.categories_present(F.lower("text"), L.DEMO), ";").alias("categories"))
+    low = docs(spark, d).select("doc_id", F.lower("text").alias("low"))
+    return low.select("doc_id", F.array_join(T.categories_present(F.col("low"), L.DEMO), ";").alias("categories"))
 
 
 @query(
@@ -102,15 +104,11 @@ n AS (SELECT doc_id, count_if(k % 2 = 0) AS n_words FROM w GROUP BY doc_id), m A
 SELECT doc_id, n_words::INTEGER AS n_words, coalesce(m.n, 0)::INTEGER AS n_covered, CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE coalesce(m.n, 0)::DOUBLE / n_words END AS coverage FROM n LEFT JOIN m USING (doc_id)""",
 )
 def behavioral_coverage(spark, d):
-    base = docs(spark, d).select("doc_id", "text", T.find_behaviors(F.lower("text"), L.DEMO).alias("h"))
-    # Offsets are needed only where there is a span.
-    words = F.when(F.size("h") > 0, T.word_starts(F.col("text")))
-    base = base.select("doc_id", "h", F.regexp_count("text", F.lit(T.SIMPLE_WORD)).alias("n_words"), words.alias("w"))
-    # Naming h twice keeps the optimiser from working it out inside the lambda, for every word.
-    inside = F.when(F.size("h") > 0, F.filter("w", lambda w: F.exists("h", lambda h: (h["start"] <= w["start"]) & (w["start"] < h["end"]))))
-    return base.select("doc_id", "n_words", F.coalesce(F.size(inside), F.lit(0)).alias("n")).select(
-        "doc_id", "n_words", F.greatest("n", F.lit(0)).alias("n_covered"), F.coalesce(F.try_divide(F.greatest("n", F.lit(0)).cast("double"), F.col("n_words")), F.lit(0.0)).alias("coverage")
-    )
+    base = docs(spark, d).select("doc_id", "text", F.lower("text").alias("low"))
+    base = base.select("doc_id", "text", T.find_behaviors(F.col("low"), L.DEMO).alias("h"))
+    n = F.when(F.size("h") > 0, T.covered_words(F.col("text"), F.col("h"))).otherwise(0)
+    counted = base.select("doc_id", F.regexp_count("text", F.lit(T.SIMPLE_WORD)).alias("n_words"), n.alias("n_covered"))
+    return counted.select("*", F.coalesce(F.try_divide(F.col("n_covered").cast("double"), F.col("n_words")), F.lit(0.0)).alias("coverage"))
 
 
 _BUCKET = "CASE " + " ".join(f"WHEN {any_of('lower(url)', ps)} THEN '{b}'" for b, ps in L.DEMO_BUCKETS) + " ELSE 'other' END"

@@ -54,6 +54,19 @@ def test_word_starts(spark):
     assert [[tuple(w) for w in g] for g in got] == [[(m.start(), m.group()) for m in re.finditer(r"[A-Za-z0-9']+", t)] for t in texts]
 
 
+def test_covered_words(spark):
+    lexicon = {"a": ["b c", "c d", "ab"], "b": ["d"]}
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("abcd  .'é") for _ in range(n)) for n in (0, 1, 7, 30, 200, 900)] + ["ab", "xab cab", "abab d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", F.lower("x").alias("low"))
+    got = [r[0] for r in rows.select("x", T.find_behaviors(F.col("low"), lexicon).alias("h")).select(T.covered_words(F.col("x"), F.col("h"))).collect()]
+    want = []
+    for t in texts:
+        spans = [(s, e) for _, _, s, e in plain_hits(t, lexicon)]
+        want.append(sum(any(s <= m.start() < e for s, e in spans) for m in re.finditer(r"[A-Za-z0-9']+", t)))
+    assert got == want
+
+
 def test_buckets_in_order(spark):
     paths = ["s3://x/reddit/c4", "cc_en_head-1", "WIKI", "pes2o", "math_code", "none", None]
     assert column(spark, paths, T.bucket_source(F.col("x"), L.BUCKETS)) == ["reddit", "cc_head", "wiki", "academic", "code", "other", "other"]
