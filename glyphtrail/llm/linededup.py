@@ -19,7 +19,7 @@ first document keep it too; null ids come last among the first documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, small, table
@@ -36,25 +36,31 @@ VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9]|@|://)[^\x20\x09-\x0D]*"
 WILD = "<*>"
 
 
-def tokens_of(line: Column) -> Column:
-    """Masked tokens. Most lines have no variable field and single spaces only, for
-    which a plain split does."""
-    masked = F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
-    plain = ~line.rlike(r"[\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$|^$")
-    return F.when(plain, F.split(masked, " ")).otherwise(F.filter(F.split(masked, f"{SPACE}+"), lambda t: t != ""))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row per line: doc_id, text_key, at, tokens, n, leaf, line_key."""
-    texts = docs.select("doc_id", F.xxhash64("text", F.crc32("text")).alias("text_key"), "text")
-    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    fixed = F.size("tokens") - F.when(F.col("line").rlike("[0-9@]|://"), F.size(F.filter("tokens", lambda t: t == WILD))).otherwise(0)
-    mostly_fixed = fixed * 100 >= F.size("tokens") * FIXED
-    return lines.withColumn("tokens", tokens_of(F.col("line"))).select(
+    """A row per line: doc_id, text_key, at, tokens, n, leaf, line_key. Each line is searched
+    once for variable fields; most have none, and single spaces only, for which a plain split does."""
+    text = F.col("text")
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    texts = docs.select("doc_id", F.xxhash64("text", F.crc32("text")).alias("text_key"), odd.alias("odd"), "text")
+    lines = texts.select("doc_id", "text_key", "odd", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.withColumn("variable", F.col("line").rlike("[0-9@]|://"))
+    lines = lines.withColumn("masked", F.when(F.col("variable"), F.regexp_replace("line", VARIABLE, WILD)).otherwise(F.col("line")))
+    lines = lines.withColumn("parts", F.split("masked", " "))
+    full = lambda parts: F.filter(parts, lambda t: t != "")
+    tokens = (
+        F.when(F.col("odd"), full(F.split("masked", f"{SPACE}+")))
+        .when(F.array_contains("parts", ""), full(F.col("parts")))
+        .otherwise(F.col("parts"))
+    )
+    lines = lines.withColumn("tokens", tokens)
+    fixed = F.size("tokens") - F.when(F.col("variable"), F.size(F.filter("tokens", lambda t: t == WILD))).otherwise(0)
+    return lines.select(
         "doc_id", "text_key", "at", "tokens",
         F.size("tokens").alias("n"),
         F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
-        F.when(mostly_fixed, F.xxhash64(F.size("tokens"), "tokens")).otherwise(F.xxhash64("line")).alias("line_key"),
+        F.when(fixed * 100 >= F.size("tokens") * FIXED, F.xxhash64(F.size("tokens"), "tokens")).otherwise(F.xxhash64("line")).alias("line_key"),
     )
 
 
