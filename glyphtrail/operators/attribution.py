@@ -36,19 +36,21 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def match_lengths(answers: DataFrame, corpus: DataFrame, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """answer_id, i, len, n: how many corpus places match exactly ``len`` words (at most
-    ``max_words``) from word i of an answer on."""
+def match_places(answers: DataFrame, corpus: DataFrame, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+    """answer_id, doc_id, i, len: for each corpus place, how many words (at most ``max_words``)
+    match from word i of an answer on."""
     own = _grams(answers, "answer_id", min_words, "i")
     there = _grams(corpus, "doc_id", min_words, "p")
     hits = there.join(small(own, SMALL_GRAMS), "h").select("answer_id", "doc_id", "i", (F.col("p") - F.col("i")).alias("diag"))
     line = Window.partitionBy("answer_id", "doc_id", "diag")
     runs = hits.withColumn("run", F.col("i") - F.row_number().over(line.orderBy("i")))
     end = F.max("i").over(Window.partitionBy("answer_id", "doc_id", "diag", "run"))
-    return (
-        runs.withColumn("len", F.least(F.lit(max_words), end + min_words - F.col("i")).cast("int"))
-        .groupBy("answer_id", "i", "len").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return runs.select("answer_id", "doc_id", "i", F.least(F.lit(max_words), end + min_words - F.col("i")).cast("int").alias("len"))
+
+
+def match_lengths(places: DataFrame) -> DataFrame:
+    """answer_id, i, len, n: how many places match exactly ``len`` words."""
+    return places.groupBy("answer_id", "i", "len").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _by_answer(answers: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -81,7 +83,12 @@ def _spell(df: DataFrame, spans: Column) -> DataFrame:
 
 def longest_matches(answers: DataFrame, corpus: DataFrame, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """answer_id, start, n_words, n_occurrences, phrase: each answer's greedy spans."""
-    by = _by_answer(answers, match_lengths(answers, corpus, min_words, max_words))
+    return spans_of(answers, match_places(answers, corpus, min_words, max_words))
+
+
+def spans_of(answers: DataFrame, places: DataFrame) -> DataFrame:
+    """The greedy spans, from the places."""
+    by = _by_answer(answers, match_lengths(places))
     picked = F.aggregate(
         "at",
         F.struct(F.lit(0).alias("next"), F.array().cast(_SPAN).alias("out")),
@@ -100,7 +107,7 @@ def longest_matches(answers: DataFrame, corpus: DataFrame, min_words: int = MIN_
 def longest_matches_budget(answers: DataFrame, corpus: DataFrame, max_calls: int = 80, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """As ``longest_matches``, with each look-up of an n-gram counting against ``max_calls``
     of an answer; a span whose extension runs out of look-ups keeps its best length."""
-    by = _by_answer(answers, match_lengths(answers, corpus, min_words, max_words)).withColumn("n", F.size("words"))
+    by = _by_answer(answers, match_lengths(match_places(answers, corpus, min_words, max_words))).withColumn("n", F.size("words"))
 
     def step(s: Column, i: Column) -> Column:
         here = F.get(F.filter("at", lambda x: x["i"] == i), F.lit(0))
@@ -174,21 +181,16 @@ def search_docs(corpus: DataFrame, phrases: DataFrame, max_docs: int = 3, displa
     )
 
 
-def attribution_summary(answers: DataFrame, spans: DataFrame, corpus: DataFrame, top: int = 5, per_span: int = 2) -> DataFrame:
-    """answer_id, n_matches, longest_span_words, n_passages: passages are those of the
-    ``top`` spans, at most ``per_span`` each."""
-    best = ranked(spans)
-    passages = search_docs(corpus, best.filter(F.col("rank") <= top), per_span).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    per_answer = (
-        best.join(passages, "phrase", "left")
-        .groupBy("answer_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_matches"),
-            F.max("n_words").cast("long").alias("longest_span_words"),
-            F.sum(F.when(F.col("rank") <= top, F.coalesce("n", F.lit(0))).otherwise(0)).alias("n_passages"),
-        )
-    )
-    return answers.select("answer_id").join(per_answer, "answer_id", "left").na.fill(0)
+def attribution_summary(answers: DataFrame, corpus: DataFrame, top: int = 5, per_span: int = 2) -> DataFrame:
+    """answer_id, n_matches, longest_span_words, n_passages: passages are documents that hold one of the
+    ``top`` spans, at most ``per_span`` each. They are read off the places that made the spans."""
+    places = match_places(answers, corpus)
+    best = ranked(spans_of(answers, places))
+    wanted = best.filter(F.col("rank") <= top).select("answer_id", F.col("start").alias("i"), "n_words")
+    held = places.join(wanted, ["answer_id", "i"]).filter(F.col("len") >= F.col("n_words")).select("answer_id", "i", "doc_id").distinct()
+    passages = held.groupBy("answer_id", "i").agg(F.least(F.lit(per_span), F.count(F.lit(1))).alias("n")).groupBy("answer_id").agg(F.sum("n").alias("n_passages"))
+    per_answer = best.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_matches"), F.max("n_words").cast("long").alias("longest_span_words"))
+    return answers.select("answer_id").join(per_answer, "answer_id", "left").join(passages, "answer_id", "left").na.fill(0)
 
 
 def rarest_term(questions: DataFrame, counts: DataFrame, floor: int) -> DataFrame:

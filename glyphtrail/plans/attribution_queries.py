@@ -106,12 +106,13 @@ def search_docs(spark, d):
 
 @query(
     "attribution_summary",
-    RANKED + """, ps AS (SELECT g, least(2, count(*)) AS n FROM (SELECT DISTINCT g FROM rk WHERE r <= 5) JOIN documents ON contains(text, g) GROUP BY g)
+    RANKED + """, dj AS MATERIALIZED (SELECT ' ' || array_to_string(w, ' ') || ' ' AS t FROM dt SEMI JOIN hd USING (doc_id)),
+ps AS (SELECT g, least(2, count(*)) AS n FROM (SELECT DISTINCT g FROM rk WHERE r <= 5) JOIN dj ON contains(t, ' ' || g || ' ') GROUP BY g)
 SELECT item_id AS answer_id, count(g) AS n_matches, coalesce(max(l), 0)::BIGINT AS longest_span_words, coalesce(sum(CASE WHEN r <= 5 THEN coalesce(n, 0) ELSE 0 END), 0)::BIGINT AS n_passages
 FROM bt LEFT JOIN rk USING (item_id) LEFT JOIN ps USING (g) GROUP BY item_id""",
 )
 def attribution_summary(spark, d):
-    return A.attribution_summary(answers(spark, d), spans(spark, d), corpus(spark, d))
+    return A.attribution_summary(answers(spark, d), corpus(spark, d))
 
 
 FLOOR = 2
