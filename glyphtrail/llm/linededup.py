@@ -4,9 +4,13 @@ A line's tokens are its words; tokens with a digit, and e-mail addresses or link
 variable fields at once (``<*>``). The tree has fixed depth: number of tokens, then the
 leading ``DEPTH`` masked tokens; a leaf holds the lines that agree in these. Inside a
 leaf that enough texts reach, the template is generalised: a position keeps its token
-where at least ``SHARE`` percent of the leaf's lines have it, else it becomes ``<*>``; a
+where at least ``SHARE`` percent of the leaf's distinct texts have it, else it becomes ``<*>``; a
 leaf template counts if at least ``FIXED`` percent of its positions, and more than the
-leading ones, stay fixed. A line that recurs by itself is a template too: as masked, or
+leading ones, stay fixed. A leaf may hold several templates: where two or more tokens of one
+position are each found in ``MIN_TEXTS`` distinct texts, the leaf branches, and lines that agree
+in all such tokens are generalised once more by themselves, by the same rule. Fields that
+vary among frequent values at several positions at once part a template's lines
+into as many branches, each of which has to reach ``MIN_TEXTS``. A line that recurs by itself is a template too: as masked, or
 as it is where fewer than ``FIXED`` percent of its tokens would be fixed. A template found in at
 least ``MIN_TEXTS`` distinct texts is boilerplate: its lines are dropped in every document but the
 first (smallest id) that has it. Exact copies of a document count as one text, so being
@@ -74,22 +78,49 @@ def recurring(lines: DataFrame, key: str, min_texts: int) -> DataFrame:
     )
 
 
-def templates(kinds: DataFrame) -> DataFrame:
-    """leaf -> fixed: the (position, token) that stay, of leaves worth a template, from
-    the kinds of line (leaf, n, tokens, c: how many lines)."""
-    counts = (
-        kinds.select("leaf", "n", "c", F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("leaf", "n", "pos", "token").agg(F.sum("c").alias("c"))
+def token_texts(seen: DataFrame) -> DataFrame:
+    """node, n, pos, token, c: the number of distinct texts that have the token there, from
+    lines (node, n, text_key, tokens). No key holds more than one row a text when it is dealt out."""
+    return (
+        seen.select("node", "n", "text_key", F.posexplode("tokens").alias("pos", "token"))
+        .groupBy("node", "n", "pos", "token", "text_key").agg(F.lit(1).alias("one"))
+        .groupBy("node", "n", "pos", "token").agg(F.count("one").alias("c"))
     )
-    sized = counts.groupBy("leaf", "n", "pos").agg(F.sum("c").alias("all"), F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"))
+
+
+def templates(seen: DataFrame, counts: DataFrame) -> DataFrame:
+    """node -> fixed: the (position, token) that stay, of nodes worth a template, from
+    their lines and the lines' ``token_texts``."""
+    total = seen.groupBy("node", "text_key").agg(F.lit(1).alias("one")).groupBy("node").agg(F.count("one").alias("all"))
+    sized = counts.groupBy("node", "n", "pos").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"))
     return (
-        sized.filter((F.col("token") != WILD) & (F.col("c") * 100 >= F.col("all") * SHARE))
-        .groupBy("leaf", "n").agg(F.collect_list(F.struct("pos", "token")).alias("fixed"))
+        sized.join(small(cut(total), SMALL_KEYS), "node")
+        .filter((F.col("token") != WILD) & (F.col("c") * 100 >= F.col("all") * SHARE))
+        .groupBy("node", "n").agg(F.collect_list(F.struct("pos", "token")).alias("fixed"))
         .filter((F.size("fixed") * 100 >= F.col("n") * FIXED) & (F.size("fixed") > F.least(F.lit(DEPTH), F.col("n") - 1)))
-        .select("leaf", "fixed")
+        .select("node", "fixed")
     )
 
 
+def fitting(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """line_key, node of the kinds of line (node, line_key, tokens) that fit their node's template."""
+    return kinds.join(found, "node").filter(F.forall("fixed", lambda f: F.get("tokens", f["pos"]) == f["token"])).select("line_key", "node")
+
+
+def branches(kinds: DataFrame, counts: DataFrame, min_texts: int) -> DataFrame | None:
+    """line_key, branch of each kind of line in leaves that branch; None if no leaf does."""
+    often = counts.filter((F.col("token") != WILD) & (F.col("c") >= min_texts)).select("node", "pos", "token")
+    forks = often.groupBy("node", "pos").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("node", "pos")
+    often = cut(often.join(forks, ["node", "pos"]))
+    if not often.limit(1).count():
+        return None
+    forked = kinds.join(small(cut(often.select("node").distinct()), SMALL_KEYS), "node")
+    # Only tokens that part lines go on; a line without any has a branch of its own kind.
+    taken = forked.select("node", "line_key", F.posexplode("tokens").alias("pos", "token")).join(small(often, SMALL_KEYS), ["node", "pos", "token"])
+    ways = taken.groupBy("line_key").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("way"))
+    return forked.select("node", "line_key").join(ways, "line_key", "left").select("line_key", F.xxhash64("node", "way").alias("branch"))
+
+
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """doc_id, text_key, drop: the positions of a text's lines that go, if any. Only
     keys are written for every line; tokens are made anew for lines of recurring leaves."""
@@ -98,20 +129,34 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     leaves = cut(recurring(keys, "leaf", min_texts).select("leaf"))
     near = small(leaves, SMALL_KEYS)
     lines = cut(keys.join(near, "leaf"))
-    kinds = cut(
-        lines_of(docs).join(near, "leaf").groupBy("leaf", "n", "line_key").agg(F.count(F.lit(1)).alias("c"), F.first("tokens").alias("tokens"))
-    )
-    fits = cut(
-        kinds.join(templates(kinds), "leaf").filter(F.forall("fixed", lambda f: F.get("tokens", f["pos"]) == f["token"])).select("line_key")
+    seen = cut(
+        lines_of(docs).join(near, "leaf").groupBy(F.col("leaf").alias("node"), "n", "line_key", "text_key").agg(F.first("tokens").alias("tokens"))
     )
+    kinds = cut(seen.groupBy("node", "line_key").agg(F.first("tokens").alias("tokens")))
+    counts = cut(token_texts(seen))
+    fits = cut(fitting(kinds, templates(seen, counts)))
     member = lines.join(small(fits, SMALL_KEYS), "line_key")
-    by_leaf = member.join(small(cut(recurring(member, "leaf", min_texts)), SMALL_KEYS), "leaf")
+    whole = cut(recurring(member, "node", min_texts))
+    by_leaf = member.join(small(whole, SMALL_KEYS), "node")
     by_line = lines.join(small(cut(recurring(lines, "line_key", min_texts)), SMALL_KEYS), "line_key")
     places = ["doc_id", "text_key", "at", "first_id"]
-    # A line of both kinds stays only where it is the first of both.
+    out = by_leaf.select(places).unionByName(by_line.select(places))
+    ways = branches(kinds, counts, min_texts)
+    if ways is not None:
+        ways = small(cut(ways), SMALL_KEYS)
+        seen = cut(seen.drop("node").join(ways, "line_key").withColumnRenamed("branch", "node"))
+        kinds = kinds.drop("node").join(ways, "line_key").withColumnRenamed("branch", "node")
+        # Lines of a recurring leaf template count for their branch, but stay or go by the leaf.
+        settled = fits.join(whole.select("node"), "node", "left_semi").select("line_key", F.lit(True).alias("settled"))
+        inner = cut(fitting(kinds, templates(seen, cut(token_texts(seen)))).join(settled, "line_key", "left"))
+        member = lines.join(small(inner, SMALL_KEYS), "line_key")
+        found = small(cut(recurring(member, "node", min_texts).select("node")), SMALL_KEYS)
+        rest = cut(member.filter("settled is null").join(found, "node"))
+        first = rest.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+        out = out.unionByName(rest.join(small(cut(first), SMALL_KEYS), "node").select(places))
+    # A line of several kinds stays only where it is the first of all.
     return (
-        by_leaf.select(places).unionByName(by_line.select(places))
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+        out.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("drop"))
     )
 

@@ -216,3 +216,23 @@ def test_copies_alone_are_no_boilerplate(spark):
     got = linededup.drop_lines(docs(spark, [(i, text, None, None, 0) for i in range(30)])).collect()
     assert all(r.text == text and r.n_dropped == 0 for r in got)
     assert linededup.drop_lines(docs(spark, [])).count() == 0
+
+
+def test_copies_do_not_outvote_a_template(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(30)]
+    data = [(i, f"Posted in category {v} by admin", None, None, 0) for i, v in enumerate(names)]
+    data += [(100 + i, "Posted in category offers for everyone\nits own line here", None, None, 0) for i in range(200)]
+    by = {r.doc_id: r for r in linededup.drop_lines(docs(spark, data)).collect()}
+    assert [by[i].n_dropped for i in range(30)] == [0] + [1] * 29
+    assert all(by[100 + i].n_dropped == 0 for i in range(200))
+
+
+def test_several_templates_in_a_leaf(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(14)]
+    forms = ["The site was made {} with great love here", "The site was shut {} for some repairs today", "The site was sold {} after many long years", "The site was seen {} near an old mill"]
+    data = [(100 * k + i, f.format(v), None, None, 0) for k, f in enumerate(forms) for i, v in enumerate(names)]
+    data += [(1000 + i, f"The site was {v} {v} {v} {v} {v} {v}", None, None, 0) for i, v in enumerate(names)]
+    by = {r.doc_id: r for r in linededup.drop_lines(docs(spark, data)).collect()}
+    for k in range(4):
+        assert [by[100 * k + i].n_dropped for i in range(14)] == [0] + [1] * 13
+    assert all(by[1000 + i].n_dropped == 0 for i in range(14))
