@@ -12,8 +12,9 @@ grouped aggregations over all rows, by the language that the text alone suggests
 fewer than ``LEAST_LETTERS`` letters, or a best posterior below ``LEAST_POSTERIOR``, is rejected as
 ``und``; one with fewer than ``VOTE_LETTERS`` has no vote in the counts.
 
-Languages are the declared ones of at least one row in ``RARE``, at most ``MAX_LANGUAGES`` of them
-(the commonest), so the model that goes to the executors is bounded.
+Languages are all the declared ones, whatever their share, up to ``MAX_LANGUAGES`` (the commonest), so
+that the model that goes to the executors is bounded: 64 KB a language. Beyond, the texts of all the others
+train one more model, and a text that is likest to it is ``und``. A declared ``und`` names no language.
 
 Cases: an empty table gives an empty result; a null or empty text is rejected; a null declared
 language, suffix or host is evidence of its own kind; equal rows get equal results; if no row
@@ -39,7 +40,6 @@ TEMPER = 1.0
 LEAST_LETTERS = 1
 VOTE_LETTERS = 12
 LEAST_POSTERIOR = 0.5
-RARE = 1000
 MAX_LANGUAGES = 200
 #: Weight of the coarser level in a host's or domain's prior, in rows.
 HOST_ROWS, DOMAIN_ROWS = 20.0, 50.0
@@ -108,15 +108,19 @@ def normal(declared: Column) -> Column:
 
 
 def trained(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram probabilities, from all rows that declare one."""
-    counts = rows.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES).collect()
-    total = sum(r.n for r in found)
-    languages = sorted(r.declared for r in found if r.n * RARE >= total)
+    """Languages and their log trigram probabilities, from all rows that declare one. Where
+    there are more than ``MAX_LANGUAGES``, the last is ``und``, the model of all the others."""
+    rows = rows.filter(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN))
+    counts = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES + 1).collect()
+    languages = sorted(r.declared for r in found[:MAX_LANGUAGES])
     if not languages:
         return [], np.zeros((0, BUCKETS))
+    known = F.col("declared").isin(languages)
+    if len(found) > MAX_LANGUAGES:
+        languages.append(UNKNOWN)
     sums = (
-        rows.filter(F.col("declared").isin(languages)).select("declared", "text")
+        rows.select(F.when(known, F.col("declared")).otherwise(F.lit(UNKNOWN)).alias("declared"), "text")
         .mapInArrow(_count(languages), "lang long, bucket long, c long")
         .groupBy("lang", "bucket").agg(F.sum("c").alias("c"))
     )
@@ -147,7 +151,7 @@ def identify(rows: DataFrame) -> DataFrame:
         .withColumn("vote", F.when(F.col("letters") >= VOTE_LETTERS, F.array_position("ll", F.array_max("ll")) - 1).cast("int"))
     )
     zeros = F.array(*[F.lit(0.0)] * n)
-    # One number a language, at most MAX_LANGUAGES.
+    # One number a language, at most MAX_LANGUAGES + 1.
     every = [v or 0.0 for v in seen.agg(F.array(*_votes(n)).alias("v")).first().v]
     all_votes = F.array(*[F.lit(v) for v in every])
     share = F.array(*[F.lit((v + 1.0) / (sum(every) + n)) for v in every])

@@ -192,6 +192,26 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == docs(spark, []).columns and kept.filter("doc_id = 1001").count() == 0
 
 
+def tongue(seed, letters, n, lang, first):
+    """Rows of texts in a language made of ``letters``."""
+    draw = random.Random(seed)
+    lexicon = ["".join(draw.choice(letters) for _ in range(6)) for _ in range(60)]
+    return [(first + i, " ".join(draw.choice(lexicon) for _ in range(20)), lang, f"s{i % 3}", 0) for i in range(n)]
+
+
+def test_rare_language_among_many_rows(spark):
+    data = tongue(1, "aeinrst", 12_000, "en", 0) + tongue(2, "uvwxyzk", 8, "nl", 50_000)
+    got = {r.id.doc_id: r.language for r in langid.identify(langid.of_documents(docs(spark, data))).filter("id.doc_id >= 49900 or id.doc_id < 100").collect()}
+    assert all(v == ("nl" if d >= 50_000 else "en") for d, v in got.items()) and len(got) == 108
+
+
+def test_languages_beyond_the_bound_are_rejected(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    data = tongue(1, "aeinrst", 300, "en", 0) + tongue(2, "uvwxyzk", 200, "nl", 1000) + tongue(3, "bcdfghj", 30, "fi", 2000) + tongue(4, "lmopq", 20, "cy", 3000)
+    got = {r.id.doc_id: r.language for r in langid.identify(langid.of_documents(docs(spark, data))).collect()}
+    assert all(v == ("en" if d < 1000 else "nl" if d < 2000 else "und") for d, v in got.items()) and len(got) == 550
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
