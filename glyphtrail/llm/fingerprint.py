@@ -9,8 +9,11 @@ steps a shared sample is kept: a text of size class k (n <= 2^k) keeps the posit
 positions and a fingerprint has about 3 * 2^BASE symbols whatever the length. Likeness is the
 share of equal symbols among common positions that at least one of two walks reached.
 
-``banded`` hashes samples of the kept symbols into buckets, and ``near_pairs`` pairs each
-text with one centre of each bucket and verifies the pair by edit distance.
+``banded`` hashes samples of the kept symbols into buckets, by size class; a text is also banded as
+one of each larger class that ``max_edits`` more characters reach. ``near_pairs`` verifies all pairs of
+distinct texts of a bucket by edit distance, so its cost grows with the square of a bucket, and
+``near_classes`` gives the class of every row, copies and rows without id too. Bands
+are probable, not certain: pairs with many edits for their length may share none.
 
 Cases: an empty table gives an empty result; a null text counts as empty and an empty one
 has a fingerprint of pads; two fingerprints of pads are wholly alike; equal texts, in one row or
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, row_key, table
+from .components import components
 from .textops import U64, mix
 
 SEED = 23
@@ -249,22 +253,68 @@ def banded(prints: DataFrame, bands: int = BANDS, width: int = BAND_SYMBOLS) ->
     return prints.select("doc_id", F.explode(keys).alias("bucket"))
 
 
-def near_pairs(docs: DataFrame, max_edits: int = 64) -> DataFrame:
-    """a, b, edits: each document with one centre (smallest id) of its buckets, where at
-    most ``max_edits`` edits lead from one text to the other. Texts of different size
-    class are not compared; copies of a text stand for each other by the smallest id."""
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    firsts = cut(texts.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")))
-    one = texts.join(firsts, "doc_id").filter(F.sha2("text", 256) == F.col("key")).select("doc_id", "text").dropDuplicates(["doc_id"])
-    rows = cut(banded(fingerprint_documents(one)))
-    centres = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("bucket", "a")
-    pairs = rows.join(centres, "bucket").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    near = (
-        pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-        .join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        .select("a", "b", F.levenshtein("x", "y", max_edits).cast("long").alias("edits"))
+def widened(k: int, kept: np.ndarray, to: int) -> np.ndarray:
+    """What a text of class ``k`` would keep as one of the larger class ``to``."""
+    far = sample(to)
+    near = far[far < 3 << k]
+    return np.concatenate([kept[np.searchsorted(sample(k), near)], np.zeros(len(far) - len(near), np.uint8)])
+
+
+def _class_prints(max_edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _rows(batches, "doc_id", "text"):
+            ids, out = [], []
+            for (d, t), kept in zip(rows, fingerprints([t for _, t in rows]), strict=True):
+                k = size_class(len(t))
+                for to in range(k, size_class(len(t) + max_edits) + 1):
+                    ids.append(d)
+                    out.append(f"{to:02d}:" + _HEX[widened(k, kept, to)].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
+
+    return run
+
+
+def _distinct(docs: DataFrame) -> DataFrame:
+    """key, name (smallest id), text of each distinct text."""
+    rows = docs.filter("text is not null").select(row_key().alias("id"), "text", F.sha2("text", 256).alias("key"))
+    return cut(rows.groupBy("key").agg(F.min("id").alias("name"), F.first("text").alias("text")))
+
+
+def _links(one: DataFrame, max_edits: int) -> DataFrame:
+    """x, y, edits: the pairs of distinct texts of a bucket within ``max_edits``."""
+    prints = one.select(F.col("key").alias("doc_id"), "text").mapInArrow(_class_prints(max_edits), "doc_id string, fingerprint string")
+    rows = cut(banded(prints).distinct())
+    pairs = (
+        rows.select("bucket", F.col("doc_id").alias("x")).join(rows.select("bucket", F.col("doc_id").alias("y")), "bucket")
+        .filter("x < y").select("x", "y").distinct()
+    )
+    return cut(
+        pairs.join(one.select(F.col("key").alias("x"), F.col("text").alias("s")), "x")
+        .join(one.select(F.col("key").alias("y"), F.col("text").alias("t")), "y")
+        .filter(F.abs(F.length("s") - F.length("t")) <= max_edits)
+        .select("x", "y", F.levenshtein("s", "t", max_edits).cast("long").alias("edits"))
+        .filter("edits >= 0")
     )
-    return near.filter("edits >= 0")
+
+
+def near_pairs(docs: DataFrame, max_edits: int = 64) -> DataFrame:
+    """a, b, edits: pairs of distinct texts, by their smallest ids (``row_key`` where there is
+    none), that meet in a bucket and are at most ``max_edits`` edits apart."""
+    one = _distinct(docs)
+    names = one.select("key", "name")
+    named = _links(one, max_edits).join(names.toDF("x", "p"), "x").join(names.toDF("y", "q"), "y")
+    return named.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "edits")
+
+
+def near_classes(docs: DataFrame, max_edits: int = 64) -> DataFrame:
+    """doc_id, class_id (smallest ``row_key`` of the class) of each row: copies are in one class, and
+    so are texts that links lead to. A row without text is in a class of its own."""
+    one = _distinct(docs)
+    labels = cut(components(_links(one, max_edits).select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    known = cut(one.select("key", "name").join(labels, F.col("key") == F.col("node"), "left").select("key", "name", F.coalesce("label", "key").alias("label")))
+    classes = known.join(known.groupBy("label").agg(F.min("name").alias("class_id")), "label").select("key", "class_id")
+    rows = docs.select("doc_id", row_key().alias("own"), F.sha2("text", 256).alias("key"))
+    return rows.join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "own").alias("class_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,19 @@ def test_near_pairs(spark):
     assert got[1, 2] == 1 and set(got) <= {(1, 2), (1, 3), (2, 3)}
 
 
+def test_near_classes(spark):
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    edge, base = text(1024), text(900)
+    chain = [base, base[:850] + text(50), base[:840] + text(60), base[:850] + text(50)]
+    data = [(1, edge), (2, edge + "x"), (3, edge), (None, edge), (5, None)] + [(10 + i, c) for i, c in enumerate(chain)] + [(20, text(900)), (20, chain[1])]
+    df = docs(spark, [(d, t, None, None, 0) for d, t in data])
+    pairs = {(r.a, r.b): r.edits for r in fingerprint.near_pairs(df).collect()}
+    assert pairs[1, 2] == 1 and {(10, 11), (10, 12), (11, 13), (12, 13), (11, 12)} <= set(pairs)
+    got = sorted((r.doc_id or 0, r.class_id) for r in fingerprint.near_classes(df).collect())
+    assert got == [(0, 1), (1, 1), (2, 1), (3, 1), (5, 5), (10, 10), (11, 10), (12, 10), (13, 10), (20, 10), (20, 20)]
+
+
 # --- language ID -------------------------------------------------------------------
 
 
