@@ -18,7 +18,7 @@ from .registry import any_of, query
 
 CATEGORIES = list(L.DEMO)
 SEED = 20260716
-DRAWS = 2000
+DRAWS = 10_000
 
 
 def labelled(spark, d):

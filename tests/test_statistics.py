@@ -125,3 +125,9 @@ def test_coverage_problems(spark):
     b = spark.createDataFrame([(2,), (2,), (3,)], "k long")
     got = {(r.k, r.problem) for r in validation.coverage(a, b, "k").collect()}
     assert got == {(1, "missing"), (3, "unexpected"), (2, "repeated")}
+
+
+def test_as_many_draws_as_the_reference():
+    from glyphtrail.plans import validation_queries
+
+    assert validation_queries.DRAWS == 10_000
