@@ -120,7 +120,9 @@ def contaminated(
     # Pairs of ids find their texts; the items' shingles join them after that.
     wanted = small(candidates.withColumnRenamed("doc_id", "c_id"), SMALL_ROWS)
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    checked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id"))).join(small(items, SMALL_ITEMS), "item_id")
+    checked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")))
+    own = small(items.withColumnRenamed("item_id", "i_id"), SMALL_ITEMS)
+    checked = checked.join(own, F.col("item_id").eqNullSafe(F.col("i_id")))
     checked = checked.withColumn("_w", words_of(F.col("text")))
     here = F.coalesce(*[F.when(F.col("gram") == s, grams(F.col("_w"), s)) for s in range(1, SHINGLE + 1)])
     return (

@@ -49,6 +49,14 @@ def test_containment_of_nothing(spark):
     assert decontaminate.contaminated(docs(spark, []), one).count() == 0
 
 
+def test_items_without_id_are_found(spark):
+    text = " ".join(f"item{i}" for i in range(12))
+    items = spark.createDataFrame([(None, text), (1, "other words of an item that is nowhere")], "item_id long, text string")
+    df = docs(spark, [(1, f"before {text} after", None, None, 0), (2, "a clean text of its own", None, None, 0)])
+    assert [tuple(r) for r in decontaminate.contaminated(df, items).collect()] == [(1, None, 8, 8)]
+    assert [r.doc_id for r in decontaminate.clean(df, items).collect()] == [2]
+
+
 # --- mixing ------------------------------------------------------------------------
 
 
