@@ -17,7 +17,7 @@ first (smallest id) that has it. Exact copies of a document count as one text, s
 copied does not make a document boilerplate.
 
 Cases: an empty table gives an empty result; a null text has no lines; blank lines are
-never templates and stay; equal rows get equal results, and copies of a template's
+never templates and stay, and so does a line of fewer than ``MIN_TOKENS`` tokens, however long; equal rows get equal results, and copies of a template's
 first document keep it too; null ids come last among the first documents.
 """
 
