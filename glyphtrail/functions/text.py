@@ -46,25 +46,40 @@ def topical_terms(text: Column, stop: list[str], behaviour_words: Column, k: int
     return F.slice(F.array_except(F.filter(words, lambda w: ~w.isin(stop)), behaviour_words), 1, k)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once: inside a lambda an expression of the
+    row would be worked out again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sums of the elements before each element, and of all at the end: n + 1 numbers of n.
+    Arrays can't be appended to in place, so the sums are made in blocks of about sqrt(n)
+    and the blocks' offsets are added after: n * sqrt(n) copied cells at most, not n^2."""
+    start = lambda: F.array(F.lit(0).cast("bigint"))
+    add = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+    width = lambda v: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+    parts = lambda v: F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(v) / width(v)).cast("int") - 1),
+        lambda k: F.aggregate(F.slice(v, k * width(v) + 1, width(v)), start(), add),
+    )
+    shifted = lambda s: F.flatten(F.transform(s["parts"], lambda p, k: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + F.get(s["at"], k))))
+    joined = lambda s: F.concat(shifted(s), F.slice(s["at"], -1, 1))
+    with_offsets = lambda p: F.struct(p.alias("parts"), F.aggregate(p, start(), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.element_at(x, -1)))).alias("at"))
+    return F.when(F.size(lengths) == 0, start()).otherwise(bound(bound(bound(lengths, parts), with_offsets), joined))
+
+
 def starts_of(low: Column, phrase: str) -> Column:
-    """0-based starts of all, also overlapping, occurrences of ``phrase``. The text is
-    parted before each occurrence, so the work is linear in its length."""
+    """0-based starts of all, also overlapping, occurrences of ``phrase``: the text is
+    parted before each occurrence, and starts are the running sums of the pieces."""
     from .lexicon import escape
 
     none = F.array().cast("array<int>")
     pieces = F.split(low, f"(?={escape(phrase)})")
-    # Every piece but the first begins with an occurrence; the first one's test is made once.
-    walk = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), low.startswith(phrase).alias("hit"), none.alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            F.lit(True).alias("hit"),
-            F.when(s["hit"], F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(F.contains(low, F.lit(phrase)), walk).otherwise(none)
+    # Every piece begins with an occurrence, but for the first one, perhaps.
+    places = lambda at: F.slice(at, 2 - low.startswith(phrase).cast("int"), F.size(at) - 2 + low.startswith(phrase).cast("int"))
+    found = bound(running_sums(F.transform(pieces, lambda p: F.length(p))), places).cast("array<int>")
+    return F.when(F.contains(low, F.lit(phrase)), found).otherwise(none)
 
 
 def find_behaviors(low: Column, lexicon: dict[str, list[str]]) -> Column:
@@ -94,20 +109,15 @@ def any_of(low: Column, phrases: list[str]) -> Column:
 
 
 def word_starts(text: Column, pattern: str = SIMPLE_WORD) -> Column:
-    """Array of (start, word): words alternate with what parts them, so starts are sums of
-    lengths. The list grows by copies; it is meant for answers, not for books."""
+    """Array of (start, word): words alternate with what parts them, so a word starts behind
+    the words before it and the gaps up to it."""
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    lengths = F.zip_with(gaps, words, lambda g, w: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), w.alias("w")))
-    return F.aggregate(
-        F.filter(lengths, lambda x: x["w"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.length(x["w"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), x["w"].alias("word")))).alias("out"),
-        ),
-        lambda s: s["out"],
+    spans = F.zip_with(F.slice(F.split(text, pattern), 1, F.greatest(F.size(words), F.lit(1))), words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("w")))
+    found = lambda s: bound(
+        running_sums(F.transform(s, lambda x: x["gap"] + F.length(x["w"]))),
+        lambda ends: F.transform(s, lambda x, i: F.struct((F.get(ends, i) + x["gap"]).cast("int").alias("start"), x["w"].alias("word"))),
     )
+    return bound(F.filter(spans, lambda x: x["w"].isNotNull()), found)
 
 
 def covered_words(text: Column, spans: Column, pattern: str = SIMPLE_WORD) -> Column:
