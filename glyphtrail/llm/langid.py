@@ -12,9 +12,11 @@ grouped aggregations over all rows, by the language that the text alone suggests
 fewer than ``LEAST_LETTERS`` letters, or a best posterior below ``LEAST_POSTERIOR``, is rejected as
 ``und``; one with fewer than ``VOTE_LETTERS`` has no vote in the counts.
 
-Languages are all the declared ones, whatever their share, up to ``MAX_LANGUAGES`` (the commonest), so
-that the model that goes to the executors is bounded: 64 KB a language. Beyond, the texts of all the others
-train one more model, and a text that is likest to it is ``und``. A declared ``und`` names no language.
+Languages are all the declared ones with at least ``LEAST_ROWS`` rows, a count that does not
+depend on how many other rows there are. The texts of rarer ones train one more model together,
+and a text that is likest to it is ``und``. The model that goes to the executors has 32 KB a language;
+declared values are subtags of two or three letters, so their number is bounded by the codes there
+are, and it does not grow with the rows. A declared ``und`` names no language.
 
 Cases: an empty table gives an empty result; a null or empty text is rejected; a null declared
 language, suffix or host is evidence of its own kind; equal rows get equal results; if no row
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small, table
+from .common import cut, marked, small, table
 from .textops import U64, blocks, mix, pieces, texts_of
 
 UNKNOWN = "und"
@@ -40,12 +42,16 @@ TEMPER = 1.0
 LEAST_LETTERS = 1
 VOTE_LETTERS = 12
 LEAST_POSTERIOR = 0.5
-MAX_LANGUAGES = 200
+#: Rows that a declared language needs for a model of its own.
+LEAST_ROWS = 3
 #: Weight of the coarser level in a host's or domain's prior, in rows.
 HOST_ROWS, DOMAIN_ROWS = 20.0, 50.0
 #: Hosts and declared values are broadcast up to this many rows.
 SMALL_ROWS = 50_000
 
+#: The registrable part of a host: two labels, or three under a second level such as co.uk.
+DOMAIN = r"([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]+))$"
+
 # A-Z as a-z, digits and signs as one space; bytes of other letters as they are.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -69,14 +75,26 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {v: i for i, v in enumerate(languages)}
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        codes, counts, held = [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            code, place = np.unique(np.concatenate(codes), return_inverse=True)
+            return code, np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
+
         for batch in pieces(batches):
             lang = np.array([at[v] for v in batch.column("declared").to_pylist()], np.int64)
             for first, part in blocks(texts_of(batch)):
                 owner, bucket, _ = trigrams(part)
-                total += np.bincount(lang[first + owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        which, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(bucket), pa.array(total[which, bucket])], names=["lang", "bucket", "c"])
+                code, n = np.unique(lang[first + owner] * BUCKETS + bucket, return_counts=True)
+                codes.append(code)
+                counts.append(n)
+                held += len(code)
+            if held > 1 << 20:
+                code, n = summed()
+                codes, counts, held = [code], [n], 0
+        if codes:
+            code, n = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(code // BUCKETS), pa.array(code % BUCKETS), pa.array(n)], names=["lang", "bucket", "c"])
 
     return run
 
@@ -91,7 +109,7 @@ def _likelihoods(log_p: np.ndarray):
                 ll = np.stack([np.bincount(owner, p[bucket], len(part)) for p in log_p], axis=1)
                 rows.append(ll * (TEMPER / np.sqrt(grams))[:, None])
                 letters.append(n_letters)
-            ll = np.concatenate(rows) if rows else np.zeros((0, len(log_p)))
+            ll = (np.concatenate(rows) if rows else np.zeros((0, len(log_p)))).astype(np.float64)
             arrays = [batch.column(c) for c in ("id", "declared", "suffix", "host", "domain")]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * len(log_p), pa.int32()), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -103,35 +121,46 @@ def _likelihoods(log_p: np.ndarray):
 
 
 def normal(declared: Column) -> Column:
-    """Primary subtag, lower case; empty as null."""
-    return F.nullif(F.regexp_extract(F.lower(F.trim(declared)), "^([a-z]+)", 1), F.lit(""))
+    """Primary subtag of two or three letters, lower case; anything else is null."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(declared)), "^([a-z]{2,3})(?![a-z])", 1), F.lit(""))
 
 
 def trained(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram probabilities, from all rows that declare one. Where
-    there are more than ``MAX_LANGUAGES``, the last is ``und``, the model of all the others."""
+    """Languages and their log trigram probabilities, from all rows that declare one. If some
+    are declared by fewer than ``LEAST_ROWS`` rows, the last is ``und``, the model of all of these."""
     rows = rows.filter(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN))
-    counts = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES + 1).collect()
-    languages = sorted(r.declared for r in found[:MAX_LANGUAGES])
-    if not languages:
-        return [], np.zeros((0, BUCKETS))
+    # One row a language code.
+    found = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()
+    languages = sorted(r.declared for r in found if r.n >= LEAST_ROWS)
+    if not found:
+        return [], np.zeros((0, BUCKETS), np.float32)
     known = F.col("declared").isin(languages)
-    if len(found) > MAX_LANGUAGES:
+    if len(found) > len(languages):
         languages.append(UNKNOWN)
     sums = (
         rows.select(F.when(known, F.col("declared")).otherwise(F.lit(UNKNOWN)).alias("declared"), "text")
         .mapInArrow(_count(languages), "lang long, bucket long, c long")
         .groupBy("lang", "bucket").agg(F.sum("c").alias("c"))
+        .toArrow()
     )
     c = np.full((len(languages), BUCKETS), SMOOTH)
-    for r in sums.toLocalIterator():
-        c[r.lang, r.bucket] += r.c
-    return languages, np.log(c / c.sum(axis=1, keepdims=True))
+    c[sums["lang"].to_numpy(), sums["bucket"].to_numpy()] += sums["c"].to_numpy()
+    return languages, np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def _numbers(values: list[float]) -> Column:
+    """A constant array, short in the plan however many values it has."""
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
 
 
-def _votes(n: int) -> list[Column]:
-    return [F.sum(F.when(F.col("vote") == i, 1).otherwise(0)).cast("double") for i in range(n)]
+def tallies(seen: DataFrame, by: str, n: int) -> DataFrame:
+    """``by``, votes: how many rows with that value vote for each of ``n`` languages."""
+    counted = seen.filter("vote is not null").groupBy(by, "vote").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    lists = counted.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("vote", "c"))).alias("by_vote"))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    # The map is bound first, or it would be built anew for each language.
+    votes = F.get(F.transform(F.array("by_vote"), lambda m: F.transform(every, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))), F.lit(0))
+    return lists.select(by, votes.alias("votes"))
 
 
 def _smoothed(n: Column, weight: float):
@@ -150,23 +179,24 @@ def identify(rows: DataFrame) -> DataFrame:
         .mapInArrow(_likelihoods(log_p), f"id {dict(rows.dtypes)['id']}, declared string, suffix string, host string, domain string, letters long, ll array<double>")
         .withColumn("vote", F.when(F.col("letters") >= VOTE_LETTERS, F.array_position("ll", F.array_max("ll")) - 1).cast("int"))
     )
-    zeros = F.array(*[F.lit(0.0)] * n)
-    # One number a language, at most MAX_LANGUAGES + 1.
-    every = [v or 0.0 for v in seen.agg(F.array(*_votes(n)).alias("v")).first().v]
-    all_votes = F.array(*[F.lit(v) for v in every])
-    share = F.array(*[F.lit((v + 1.0) / (sum(every) + n)) for v in every])
+    zeros = _numbers([0.0] * n)
+    # One number a language.
+    every = [0.0] * n
+    for r in seen.filter("vote is not null").groupBy("vote").agg(F.count(F.lit(1)).alias("c")).collect():
+        every[r.vote] = float(r.c)
+    all_votes = _numbers(every)
+    share = _numbers([(v + 1.0) / (sum(every) + n) for v in every])
 
     def evidence(column: str) -> DataFrame:
         """log P(value | language) of each value of ``column``, by language."""
-        by = seen.filter("vote is not null").groupBy(column).agg(F.array(*_votes(n)).alias("v"))
-        out = by.select(
+        out = tallies(seen, column, n).select(
             F.col(column).alias(f"{column}_value"),
-            F.zip_with("v", all_votes, lambda a, b: F.log((a + SMOOTH) / (b + 20 * SMOOTH))).alias(f"{column}_log"),
+            F.zip_with("votes", all_votes, lambda a, b: F.log((a + SMOOTH) / (b + 20 * SMOOTH))).alias(f"{column}_log"),
         )
         return small(cut(out), SMALL_ROWS)
 
     def counts(column: str) -> DataFrame:
-        out = seen.filter("vote is not null").groupBy(column).agg(F.array(*_votes(n)).alias(f"{column}_votes")).withColumnRenamed(column, f"{column}_name")
+        out = tallies(seen, column, n).select(F.col(column).alias(f"{column}_name"), F.col("votes").alias(f"{column}_votes"))
         return small(cut(out), SMALL_ROWS)
 
     out = seen.withColumn("share", share)
@@ -189,16 +219,17 @@ def identify(rows: DataFrame) -> DataFrame:
     )
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
     out = out.withColumn("posterior", F.lit(1.0) / F.aggregate("score", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("top"))))
-    names = F.array(*[F.lit(v) for v in languages])
+    names = F.split(F.lit(" ".join(languages)), " ")
     best = F.element_at(names, F.array_position("score", F.col("top")).cast("int"))
     sure = (F.col("letters") >= LEAST_LETTERS) & (F.col("posterior") >= LEAST_POSTERIOR)
     return out.select("id", F.when(sure, best).otherwise(F.lit(UNKNOWN)).alias("language"), "posterior")
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, id: Column | None = None) -> DataFrame:
     """Documents as rows for ``identify``: their column lang is what they declare, their source the host."""
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id")) if id is None else id
     return docs.select(
-        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id")).alias("id"),
+        own.alias("id"),
         "text", normal(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"),
         F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"),
     )
@@ -213,16 +244,17 @@ def of_pages(pages: DataFrame) -> DataFrame:
         normal(F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)).alias("declared"),
         F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"),
         F.nullif(host, F.lit("")).alias("host"),
-        F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
+        F.nullif(F.regexp_extract(host, DOMAIN, 1), F.lit("")).alias("domain"),
     )
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are rejected."""
-    keyed = docs.withColumn("_key", row_key())
-    found = identify(of_documents(keyed.withColumn("doc_id", F.col("_key"))))
-    gone = cut(found.filter(F.col("language") == UNKNOWN).select(F.col("id.doc_id").alias("_key")).distinct())
-    return keyed.join(small(gone, SMALL_ROWS), "_key", "left_anti").drop("_key")
+    """``docs`` without the rows that are rejected. What is told of a row follows from its text,
+    language and source alone, so rows are told apart by these, whatever their ids."""
+    rows = marked(docs, ["text", "lang", "source"])
+    kind = of_documents(rows.select("_row.text", "_row.lang", "_row.source", "_mark"), F.col("_mark"))
+    gone = cut(identify(kind).filter(F.col("language") == UNKNOWN).select(F.col("id").alias("_mark")).distinct())
+    return rows.join(small(gone, SMALL_ROWS), "_mark", "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,19 +22,21 @@ of a shared band is lost.
 Cases: an empty table gives an empty result; a document with less than five words has its
 whole word sequence as one shingle, one without words or text has none and is linked with
 nothing; equal rows get equal results; a null id takes part in links but names no
-component, unless all ids of a component are null, which is then null.
+component, unless all ids of a component are null, which is then null; a very long text is
+hashed whole, in blocks of its own; further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small, table
+from .common import any_above, cut, marked, small, table
 from .components import components
 from .textops import SHINGLE, U64, Words, blocks, mix, pieces, shared, texts_of
 
@@ -87,9 +89,6 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
-
-
 def _sign(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -102,16 +101,17 @@ def _sign(shingle: int, seed: int):
                     nodes.append(set_key(s) if len(s) else None)
                     sigs.append(signature(s, seed).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
-                schema=_SIGNED,
+                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "node", "n_shingles", "sig"],
             )
 
     return run
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, node, n_shingles, sig of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_sign(shingle, seed), "doc_id long, node binary, n_shingles long, sig binary")
+    """doc_id (of any type), node, n_shingles, sig of each row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_sign(shingle, seed), f"doc_id {kind}, node binary, n_shingles long, sig binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +284,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     )
 
 
+def place(doc_id: Column, mark: Column) -> Column:
+    """A name for a whole row that sorts as its id does: ids by size, then rows without id;
+    rows of one id by their 128-bit mark."""
+    digits = F.lpad((doc_id.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("decimal(20,0)").cast("string"), 20, "0")
+    part = lambda h: F.lpad(F.hex(mark[h]), 16, "0")
+    return F.concat(F.coalesce(digits, F.lit("~")), F.lit(":"), part("h1"), part("h2"))
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; of equal
-    ids one row stays, and rows without id stand behind those with one."""
-    keyed = docs.withColumn("_key", row_key())
-    same = keyed.select(F.col("_key").alias("doc_id"), "text")
-    kept = near_duplicates(same, **options).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """``docs`` with one row of each component, the one of the smallest id; rows without id
+    stand behind those with one, rows of one id are told apart by their content, and of
+    rows equal in every column one stays."""
+    rows = marked(docs).withColumn("_name", place(F.col("_row.doc_id"), F.col("_mark")))
+    found = near_duplicates(rows.select(F.col("_name").alias("doc_id"), "_row.text"), **options)
+    kept = cut(found.filter("kept").groupBy(F.col("doc_id").alias("_name")).agg(F.count(F.lit(1)).alias("n")))
+    out = rows.join(kept.select("_name"), "_name", "left_semi")
+    # Whole rows meet only where some are equal.
+    return (out.dropDuplicates(["_name"]) if any_above(kept, "n", 1) else out).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

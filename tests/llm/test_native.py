@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from glyphtrail.llm import decontaminate, linededup, mixing, secrets, sharding
+from glyphtrail.llm import common, decontaminate, linededup, mixing, secrets, sharding
 
 from .data import LONG, docs, plain_shingles, plain_words, rows, words
 
@@ -26,7 +27,7 @@ def test_containment_against_brute_force(spark):
         for cut in (0, 1, len(w) // 3):
             data.append((500 + 10 * i + cut % 10, words(draw, 200) + " " + " ".join(w[cut:]).upper() + "\n" + words(draw, 50), None, None, 0))
     got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contaminated(docs(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    best = {}
+    best, bad = {}, set()
     for i, t in items:
         own = plain_shingles(t)
         for d, x, *_ in data:
@@ -35,12 +36,40 @@ def test_containment_against_brute_force(spark):
             there = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
             both = len(own & there)
             if own and 100 * both >= 75 * len(own):
-                best[d, i] = (d, i, len(own), max(both, best.get((d, i), (0, 0, 0, 0))[3]))
+                bad.add(x)
+                best[d, i, len(own)] = (d, i, len(own), max(both, best.get((d, i, len(own)), (0, 0, 0, 0))[3]))
     assert got == set(best.values()) and len(got) > 8
     kept = decontaminate.clean(docs(spark, data), spark.createDataFrame(items, "item_id long, text string"))
-    bad = {d for d, _ in best if d is not None}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in data if r[0] not in bad)
-
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r[:2] for r in data if r[1] not in bad)
+
+
+def test_rows_of_one_id_stand_for_themselves(spark):
+    item = "a b c d e f g h"
+    one = spark.createDataFrame([(5, item), (5, "k l m n o p")], "item_id long, text string")
+    data = [(1, "a b c d e f", None, None, 0), (1, "c d e f g h", None, None, 0), (2, f"x {item} y", None, None, 0), (2, "clean words that are of no item", None, None, 0)]
+    data += [(3, "j k l m n o p " + item, None, None, 0)] * 2
+    got = {tuple(r) for r in decontaminate.contaminated(docs(spark, data), one).collect()}
+    assert got == {(2, 5, 4, 4), (3, 5, 4, 4), (3, 5, 2, 2)}
+    df = docs(spark, data).withColumnsRenamed({"lang": "_mark", "source": "value", "n_chars": "level"})
+    kept = decontaminate.clean(df, one)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted((r[0], r[1]) for r in data[:2] + data[3:4])
+
+
+def test_items_of_every_size_in_long_documents(spark):
+    """Items of one word to hundreds, whole or with as much missing as may be."""
+    draw = random.Random(12)
+    items, data = [], []
+    for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 40, 80, 160, 320]):
+        w = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(w)))
+        whole = max(1, n - 4)
+        lost = whole - -(-whole * 75 // 100)
+        data.append((10 * i, words(draw, 3000) + " " + " ".join(w) + " " + words(draw, 1000), None, None, 0))
+        data.append((10 * i + 1, words(draw, 500) + " " + " ".join(w[lost:] if n >= 5 else w) + " " + words(draw, 20), None, None, 0))
+        if n >= 5:
+            data.append((10 * i + 2, words(draw, 500) + " " + " ".join(w[lost + 1 :]) + " " + words(draw, 20), None, None, 0))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10 * i + k, i) for i in range(14) for k in (0, 1)}
 
 def test_containment_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
@@ -98,6 +127,30 @@ def test_mix(spark, seed):
     assert again.columns == df.columns and again.filter("text is null or text = ''").count() == 0
 
 
+@pytest.mark.parametrize("run", [3, 10_000])
+def test_mixed_rows(spark, run, monkeypatch):
+    """Repeated rows, one id with unlike texts, rows without id and clashing names."""
+    for module in (mixing, common):
+        monkeypatch.setattr(module, "RUN", run)
+    draw = random.Random(5)
+    data = [(None, "one two three four five six seven eight nine ten", "fr", "a", 0)] * 12
+    data += [(7, words(draw, 9), "en", "b", k) for k in range(30)] + [(8, "same text here", v, "b", 0) for v in ("en", "de")]
+    for renamed in ({"lang": "_row", "n_chars": "_times"}, {"lang": "key", "n_chars": "copies"}):
+        df = docs(spark, data).withColumnsRenamed(renamed)
+        got = mixing.mixed_documents(df)
+        assert got.columns == df.columns
+        rows_ = got.collect()
+        want = plain_targets(Counter({"a": 120, "b": 30 * 9 + 6}))
+        assert set(map(tuple, rows_)) <= set(data)
+        for s in "ab":
+            taken = sum(len(plain_words(r.text)) for r in rows_ if r.source == s)
+            assert 0 <= taken - want[s] + 0.5 <= 11
+        one = Counter(map(tuple, rows_))
+        assert all(v <= 3 * data.count(k) for k, v in one.items())
+    taken = mixing.mix(docs(spark, data)).collect()
+    assert len(taken) == len(data) and sum(r.taken for r in taken if r.source == "a") == round(want["a"])
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     got = mixing.mix(docs(spark, [(1, None, None, "a", 0), (2, "", None, None, 0)])).collect()
@@ -111,7 +164,7 @@ def test_mix_of_nothing(spark):
 def test_layout(spark, bucket_bytes):
     data = rows(4, 300) + [(7, "same", None, None, 0)] * 50
     df = docs(spark, data).withColumnsRenamed({"lang": "shard", "source": "bucket"})
-    got = sharding.layout(df, 6, bucket_bytes=bucket_bytes).collect()
+    got = sharding.layout(sharding.digest(df), 6, bucket_bytes=bucket_bytes).collect()
     digest = lambda r: (r[0], 16 + len((r[1] or "").encode()), zlib.crc32((r[1] or "").encode()))
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(map(digest, data))
     slots = {}
@@ -122,7 +175,7 @@ def test_layout(spark, bucket_bytes):
         assert 0 <= r.shard < 6 and r.grown_shard in (r.shard, 6)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 6
     assert all(len(v) == 1 for v in home.values())
-    assert sorted(map(str, got)) == sorted(map(str, sharding.layout(df, 6, bucket_bytes=bucket_bytes).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, sharding.layout(sharding.digest(df), 6, bucket_bytes=bucket_bytes).collect()))
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None and r.shard == 0]
     assert order != sorted(order)
 
@@ -135,7 +188,45 @@ def test_shards_written(spark, tmp_path):
     for s in range(3):
         part = spark.read.parquet(str(tmp_path / f"s/shard={s}")).collect()
         assert sorted(r.slot for r in part) == list(range(len(part)))
-    assert sharding.layout(docs(spark, [])).count() == 0
+    assert sharding.layout(sharding.digest(docs(spark, []))).count() == 0
+
+
+def test_sharded_rows_stay_what_they_were(spark, monkeypatch):
+    """Rows of one id and text that differ elsewhere, clashing names, rows repeated more often than a run."""
+    monkeypatch.setattr(sharding, "RUN", 5)
+    monkeypatch.setattr(common, "RUN", 5)
+    data = [(1, "same", "fr", "b", 0), (1, "same", "en", "a", 0), (None, None, None, None, None)] + [(2, "often", "en", "a", 0)] * 23
+    names = [{"lang": "shard", "source": "slot", "n_chars": "bucket"}, {"lang": "_row", "source": "_mark", "n_chars": "size"}]
+    for renamed in names:
+        df = docs(spark, data).withColumnsRenamed(renamed)
+        got = sharding.shard_documents(df, n_shards=3)
+        before = [c + "_before" if c in ("shard", "slot") else c for c in df.columns]
+        assert got.columns == [*before, "shard", "slot"]
+        assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(data)
+
+
+def plain_key_shard(i, n, seed=sharding.SEED):
+    """The shard of an id by xxhash, draw by draw."""
+    def chain(values):
+        h = 42
+        for v, size in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), h)
+        return h - 2**64 if h >= 2**63 else h
+
+    return max(j for j in range(n) if chain([(seed, 4), (j, 4), (i, 8)]) % (j + 1) == 0)
+
+
+def test_law_by_brute_force(spark, tmp_path):
+    data = [(i, f"text {i} é" * (i % 7), None, None, 0) for i in range(400)]
+    docs(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.query(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got} == {
+        i: (16 + len(t.encode()), zlib.crc32(t.encode()), "key", plain_key_shard(i, 40), plain_key_shard(i, 41)) for i, t, *_ in data
+    }
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_shards_are_even(spark):

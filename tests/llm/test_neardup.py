@@ -93,6 +93,20 @@ def test_rows_without_id_are_told_apart(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", own), ("None", other), ("None", "")])
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    draw = random.Random(6)
+    a, b, c, e = (words(draw, 40) for _ in range(4))
+    data = [(1, a, "en", None, 0), (1, b, "en", None, 0), (2, a + " more", None, None, 0), (1, a + " end", None, None, 0), (-5, c, None, None, 0), (3, c, None, None, 0)]
+    data += [(9, e, "x", "y", 1)] * 3 + [(None, None, None, None, None)] * 2 + [(4, None, None, None, 0)]
+    for renamed in ({"lang": "_row", "source": "_mark"}, {"lang": "_name", "source": "node", "n_chars": "component_id"}):
+        df = docs(spark, data).withColumnsRenamed(renamed)
+        kept = neardup.deduplicated(df)
+        assert kept.columns == df.columns
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert len(got) == 6 and {(1, b), (-5, c), (None, None), (4, None), (9, e)} <= set(got)
+        assert sum(t in (a, a + " end") for _, t in got) == 1
+
+
 def test_words_and_shingles():
     for text in ["", " ", "A b\tC\x0bd\ne", "ÄÖ é", "x" * 5000, "one two three four five six"]:
         w = T.Words([text.encode(), b"zz"])
