@@ -2,25 +2,28 @@
 
 Base spans are found per kind by a fixed pattern. Beyond them every opaque string
 (long, of letters and digits mixed) is a candidate. Candidates are hashed and
-counted over the whole corpus by distinct owners (``source``) and repositories
-(documents): a value that few owners hold is owner-specific and live-looking, and
-its spans are added under the kind ``owned``; a value held by many owners is a
-widely copied example and adds nothing. Base spans stay whatever their count says.
+counted over the whole corpus by distinct owners (``source``) and distinct repositories
+(texts, so that exact copies of a document are one): a value that at most ``MAX_OWNERS`` owners and at most
+``MAX_REPOSITORIES`` repositories hold is owner-specific and live-looking, and its spans are added under the
+kind ``owned``; any other value is a widely copied example and adds nothing. Base spans stay whatever their count says.
 
-Positions come from the matches themselves: a pattern without look-around that finds
-a string next can't find it later than the string's first occurrence, so the first
-occurrence from the end of the last match is the match.
+Positions come from the pieces between the matches: a match starts behind all pieces and
+matches before it. Whether a base span covers a candidate is told from the spans in
+order, so the work grows little more than in proportion to the matches in a text.
 
 Cases: an empty table gives an empty result; a null text counts as empty; rows that
-are equal get equal results each; a null source is one more owner, a null id one more
-repository; offsets are code points, end exclusive.
+are equal get equal results each; a null source is one more owner; ids do not matter; offsets are
+code points, end exclusive; a very long text is searched whole in one task; further columns do not
+matter, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import text as T
 from .common import cut, table
 
 # The base patterns and their least lengths.
@@ -31,34 +34,33 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 
 #: Candidates of the ownership count.
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
-#: A value of at most so many owners is owner-specific; from ``EXAMPLE_OWNERS`` on it is an example.
-MAX_OWNERS = 2
-EXAMPLE_OWNERS = 3
+#: A value of at most so many owners and repositories is owner-specific; any other is an example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
+#: A value in more texts than this meets them by broadcast; there are at most texts / HOT_TEXTS of these.
+HOT_TEXTS = 1_000_000
+_SPANS = "array<struct<s:int,kind:string,e:int,value:string>>"
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def placed(text: Column, kind: str, matches: Column, values: Column) -> Column:
-    """Array of (s, kind, e, value) of ``matches`` that follow each other in ``text``."""
-    empty = F.array().cast("array<struct<s:int,kind:string,e:int,value:string>>")
+def placed(text: Column, pattern: str, kind: str, matches: Column, values: Column) -> Column:
+    """Array of (s, kind, e, value) of all ``matches`` of ``pattern`` in ``text``."""
+    # As many pieces as matches stand before a match.
+    facts = F.arrays_zip(
+        F.slice(F.transform(F.split(text, pattern), lambda p: F.length(p)), 1, F.size(matches)).alias("gap"),
+        F.transform(matches, lambda m: F.length(m)).alias("n"), values.alias("value"),
+    )
 
-    def step(state: Column, i: Column) -> Column:
-        m = F.get(matches, i)
-        start = F.call_function("locate", m, text, state["at"] + 1) - 1
-        end = start + F.length(m)
-        span = F.struct(start.alias("s"), F.lit(kind).alias("kind"), end.alias("e"), F.get(values, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def spans(x: Column) -> Column:
+        ends = T.running_sums(F.transform(x, lambda m: m["gap"] + m["n"]))
+        return T.bound(ends, lambda at: F.transform(x, lambda m, i: F.struct(
+            (F.get(at, i) + m["gap"]).cast("int").alias("s"), F.lit(kind).alias("kind"),
+            (F.get(at, i) + m["gap"] + m["n"]).cast("int").alias("e"), m["value"].alias("value"),
+        )))
 
-    return F.when(F.size(matches) == 0, empty).otherwise(
-        F.aggregate(
-            F.sequence(F.lit(0), F.size(matches) - 1),
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            step,
-            lambda state: state["out"],
-        )
-    )
+    return F.when(F.size(matches) == 0, F.array().cast(_SPANS)).otherwise(T.bound(facts, spans).cast(_SPANS))
 
 
 def joined(spans: Column) -> Column:
@@ -73,65 +75,75 @@ def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source") ->
         F.col(owner_col).alias("owner"),
         F.coalesce(F.col("text"), F.lit("")).alias("_text"),
     )
-    # Each pattern runs once: matches first, positions from them.
+    least = HEX.replace("+", f"{{{HEX_CHARS},}}")
     rows = rows.select(
         "doc_id", "owner", "_text",
         found(text, ASSIGN).alias("a0"),
-        found(text, ACCESS + "").alias("c0"),
-        found(text, HEX.replace("+", f"{{{HEX_CHARS},}}")).alias("h0"),
-        F.filter(found(text, OPAQUE), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")).alias("o0"),
+        found(text, ACCESS).alias("c0"),
+        found(text, least).alias("h0"),
+        found(text, OPAQUE).alias("o0"),
     ).withColumn("a2", F.when(F.size("a0") > 0, found(text, ASSIGN, 2)).otherwise(F.array().cast("array<string>")))
     long_enough = lambda spans, n: F.filter(spans, lambda x: F.length(x["value"]) >= n)
+    mixed = lambda spans: F.filter(spans, lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
     return rows.select(
         "doc_id",
         "owner",
         F.sha2(text, 256).alias("text_key"),
-        long_enough(placed(text, "assign", F.col("a0"), F.col("a2")), ASSIGN_CHARS).alias("assign"),
-        long_enough(placed(text, "access", F.col("c0"), F.col("c0")), ACCESS_CHARS).alias("access"),
-        placed(text, "hex", F.col("h0"), F.col("h0")).alias("hex"),
-        placed(text, "owned", F.col("o0"), F.col("o0")).alias("opaque"),
+        long_enough(placed(text, ASSIGN, "assign", F.col("a0"), F.col("a2")), ASSIGN_CHARS).alias("assign"),
+        long_enough(placed(text, ACCESS, "access", F.col("c0"), F.col("c0")), ACCESS_CHARS).alias("access"),
+        placed(text, least, "hex", F.col("h0"), F.col("h0")).alias("hex"),
+        mixed(placed(text, OPAQUE, "owned", F.col("o0"), F.col("o0"))).alias("opaque"),
     )
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value -> n_owners, n_repositories, from (value, owner, doc_id)."""
-    per_owner = candidates.groupBy("value", "owner", "doc_id").agg(F.lit(1).alias("one"))
-    return (
-        per_owner.groupBy("value", "owner").agg(F.count("one").alias("repositories"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"))
+    """value -> n_owners, n_repositories, from (value, owner, text_key). No value is dealt out
+    with more than a row an owner or a text."""
+    return candidates.groupBy("value").agg(
+        F.count_distinct(F.struct("owner")).alias("n_owners"), F.count_distinct("text_key").alias("n_repositories")
     )
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def free(texts: DataFrame) -> DataFrame:
+    """text_key, v, free of each span of ``texts`` (text_key, base, opaque): ``free`` if no base span overlaps it."""
+    each = texts.select("text_key", F.explode(F.concat("base", "opaque")).alias("v"))
+    is_base = F.col("v.kind") != "owned"
+    # The farthest end of base spans that start up to here, and the nearest start of one from here on.
+    end = F.max(F.when(is_base, F.col("v.e"))).over(Window.partitionBy("text_key").orderBy("v.s"))
+    start = F.min(F.when(is_base, F.col("v.s"))).over(Window.partitionBy("text_key").orderBy(F.desc("v.s")))
+    each = each.withColumn("end", end).withColumn("start", start)
+    meets = F.coalesce(F.col("end") > F.col("v.s"), F.lit(False)) | F.coalesce(F.col("start") < F.col("v.e"), F.lit(False))
+    return each.select("text_key", "v", (~is_base & ~meets).alias("free"))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """A row per row of ``docs``: doc_id, the base spans, and ``added``: spans of opaque
-    values that at most ``max_owners`` owners hold and that no base span covers, with
+    values that are live-looking and that no base span overlaps, with
     the numbers of live-looking and of widely copied values."""
     rows = cut(scan(docs, id_col, owner_col))
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    values = rows.withColumn("v", F.explode(F.concat("base", "opaque"))).select(
-        "doc_id", "owner", "text_key", "v", F.sha2(F.col("v.value"), 256).alias("value")
-    )
-    counts = ownership(values)
-    judged = (
-        values.join(counts, "value")
-        .groupBy("doc_id", "owner", "text_key")
-        .agg(
-            F.collect_set(F.when((F.col("v.kind") == "owned") & (F.col("n_owners") <= max_owners), F.col("v"))).alias("own"),
-            F.count_distinct(F.when(F.col("n_owners") <= max_owners, F.col("value"))).alias("n_live"),
-            F.count_distinct(F.when(F.col("n_owners") >= EXAMPLE_OWNERS, F.col("value"))).alias("n_example"),
+    some = rows.filter((F.size("base") > 0) | (F.size("opaque") > 0))
+    value = F.sha2(F.col("v.value"), 256).alias("value")
+    counts = cut(ownership(some.select("owner", "text_key", F.explode(F.concat("base", "opaque")).alias("v")).select("owner", "text_key", value)))
+    counts = counts.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+    spans = free(some.groupBy("text_key").agg(F.first("base").alias("base"), F.first("opaque").alias("opaque"))).withColumn("value", value)
+    hot = counts.filter(F.col("n_repositories") > HOT_TEXTS)
+    if hot.limit(1).count():
+        met = spans.join(F.broadcast(hot), "value").unionByName(
+            spans.join(F.broadcast(hot.select("value")), "value", "left_anti").join(counts.filter(F.col("n_repositories") <= HOT_TEXTS), "value")
         )
+    else:
+        met = spans.join(counts, "value")
+    # Equal values of a text are one for the counts; a text's spans are in no order yet.
+    judged = met.groupBy("text_key").agg(
+        F.collect_list(F.when(F.col("free") & F.col("live"), F.col("v"))).alias("own"),
+        F.count_distinct(F.when(F.col("live"), F.col("value"))).alias("n_live"),
+        F.count_distinct(F.when(~F.col("live"), F.col("value"))).alias("n_example"),
     )
     j = judged.select(*[F.col(c).alias(f"j_{c}") for c in judged.columns])
-    covered = lambda x: F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    out = rows.join(
-        j,
-        F.col("doc_id").eqNullSafe(F.col("j_doc_id")) & F.col("owner").eqNullSafe(F.col("j_owner")) & (F.col("text_key") == F.col("j_text_key")),
-        "left",
-    )
-    return out.withColumn(
-        "added", F.filter(F.coalesce("j_own", F.array().cast("array<struct<s:int,kind:string,e:int,value:string>>")), lambda x: ~covered(x))
-    ).select(
-        "doc_id", "assign", "access", "hex", "base", "added",
+    return rows.join(j, F.col("text_key") == F.col("j_text_key"), "left").select(
+        "doc_id", "assign", "access", "hex", "base",
+        F.coalesce("j_own", F.array().cast(_SPANS)).alias("added"),
         F.coalesce("j_n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("j_n_example", F.lit(0)).cast("long").alias("n_example"),
     )
@@ -177,15 +189,17 @@ UNION ALL {_spans_sql("access", ACCESS, "m", ACCESS_CHARS)}
 UNION ALL {_spans_sql("hex", HEX, "m", HEX_CHARS)}),
 o AS MATERIALIZED (SELECT * FROM ({_spans_sql("owned", OPAQUE, "m", 0)}) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')),
 c AS (SELECT t.doc_id, t.source, x.* FROM (SELECT * FROM b UNION ALL SELECT * FROM o) x JOIN t USING (rid)),
-f AS MATERIALIZED (SELECT v, count(*) AS n_owners FROM (SELECT DISTINCT v, source FROM c) GROUP BY v),
-extra AS (SELECT o.* FROM o JOIN f USING (v) WHERE n_owners <= {MAX_OWNERS}
+fo AS (SELECT v, count(*) AS n_owners FROM (SELECT DISTINCT v, source FROM c) GROUP BY v),
+fr AS (SELECT v, count(*) AS n_repositories FROM (SELECT DISTINCT v, md5(text) FROM c JOIN t USING (rid)) GROUP BY v),
+f AS MATERIALIZED (SELECT v, n_owners <= {MAX_OWNERS} AND n_repositories <= {MAX_REPOSITORIES} AS live FROM fo JOIN fr USING (v)),
+extra AS (SELECT o.* FROM o JOIN f USING (v) WHERE live
   AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = o.rid AND b.s < o.e AND o.s < b.e)),
 every AS (SELECT rid, kind, s, e, v, true AS base FROM b UNION ALL SELECT rid, kind, s, e, v, false FROM extra),
 g AS (SELECT rid, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex', 'owned'], kind), e) FILTER (base) AS base_spans,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex', 'owned'], kind), e) AS spans
   FROM every GROUP BY rid),
-l AS (SELECT rid, count(DISTINCT v) FILTER (n_owners <= {MAX_OWNERS}) AS n_live, count(DISTINCT v) FILTER (n_owners >= {EXAMPLE_OWNERS}) AS n_example
+l AS (SELECT rid, count(DISTINCT v) FILTER (live) AS n_live, count(DISTINCT v) FILTER (NOT live) AS n_example
   FROM c JOIN f USING (v) GROUP BY rid)
 SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -275,7 +276,58 @@ def test_secrets(spark):
     by = {r.doc_id: r for r in got}
     assert by[60].added and by[None].added and by[60].n_live == 1
     assert not by[50].added and by[50].n_example == 1
-    assert [x.value for x in by[9].added] == ["Ghp_0123456789abcdefXYZ42"] or by[9].base
+    assert not by[9].added and [x.kind for x in by[9].base] == ["hex"]  # a base span overlaps the opaque string
+
+
+def test_widely_copied_values_of_one_owner(spark):
+    """A value in many repositories of one owner is an example; copies of a text are one repository."""
+    sample_, live = "SampleKey0123456789zyxwXY", "LiveKey9876543210zyxwvXY"
+    data = [(i, f"text {i} says {sample_}", None, "hot", 0) for i in range(secrets.MAX_REPOSITORIES + 1)]
+    data += [(100 + i, f"own text with {live} in it", None, "hot", 0) for i in range(60)]
+    got = {r.doc_id: r for r in secrets.find_secrets(docs(spark, data)).collect()}
+    assert all(not got[i].added and got[i].n_example == 1 for i in range(secrets.MAX_REPOSITORIES + 1))
+    assert all([x.value for x in got[100 + i].added] == [live] and got[100 + i].n_live == 1 for i in range(60))
+
+
+def plain_added(data):
+    """(id, text) -> spans of the kind ``owned``, in plain loops."""
+    opaque = re.compile(secrets.OPAQUE)
+    owners, texts, found = {}, {}, {}
+    for d, t, _, o, _ in data:
+        base = plain_base(t)
+        own = [(m.group(), m.start(), m.end()) for m in opaque.finditer(t or "") if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+        found[d, t] = (base, own)
+        values = {v for v, _, _ in own}
+        for kind, pattern, group, least in KINDS:
+            values |= {m.group(group) for m in pattern.finditer(t or "") if len(m.group(group)) >= least}
+        for v in values:
+            owners.setdefault(v, set()).add(o)
+            texts.setdefault(v, set()).add(t)
+    live = {v for v in owners if len(owners[v]) <= secrets.MAX_OWNERS and len(texts[v]) <= secrets.MAX_REPOSITORIES}
+    return {k: sorted((s, e) for v, s, e in own if v in live and not any(s < be and bs < e for _, bs, be in base)) for k, (base, own) in found.items()}
+
+
+def test_added_spans_against_brute_force(spark):
+    draw = random.Random(3)
+    alphabet = "abcdefGHIJ0123456789"
+    values = ["".join(draw.choice(alphabet) for _ in range(draw.choice([20, 25, 40]))) for _ in range(30)]
+    data = [(i, " ".join(draw.choice([*values, "word", "token: " + draw.choice(values)]) for _ in range(draw.choice([1, 5, 20]))), None, f"s{i % 4}" if i % 4 else None, 0) for i in range(60)]
+    data += data[:5] + secret_rows()
+    want = plain_added(data)
+    got = secrets.find_secrets(docs(spark, data).withColumnsRenamed({"lang": "v", "n_chars": "live"})).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert sorted((x.s, x.e) for x in r.added) in [v for (d, _), v in want.items() if d == r.doc_id]
+
+
+def test_a_list_of_very_many_keys(spark):
+    """10 MB of hex keys in one text; some 130 seconds would be quadratic work for a tenth of it."""
+    draw = random.Random(2)
+    keys = [f"{draw.getrandbits(160):040x}" for _ in range(250_000)]
+    df = docs(spark, [(1, " ".join(keys), None, "a", 0)])
+    began = time.perf_counter()
+    got = secrets.find_secrets(df).select(F.size("hex").alias("n"), F.element_at("hex", -1)["e"].alias("last"), F.size("added").alias("added")).first()
+    assert (got.n, got.last, got.added) == (250_000, 250_000 * 41 - 1, 0) and time.perf_counter() - began < 120
 
 
 def test_secrets_query_columns(spark, tmp_path):
