@@ -12,7 +12,7 @@ class Boosted:
         self.trees, self.depth, self.rate, self.bins, self.ridge, self.least = trees, depth, rate, bins, ridge, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
+        self.edges = [self._edges(c) for c in x.T]
         binned = self._bin(x)
         share = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.5
         self.base = float(np.log(share / (1 - share)))
@@ -25,6 +25,15 @@ class Boosted:
             raw += self._walk(tree, binned)
         return self
 
+    def _edges(self, c: np.ndarray) -> np.ndarray:
+        """Quantiles of the rows, and of the middles between distinct values, so that rare values
+        are parted from a common one too."""
+        if not len(c):
+            return np.zeros(0)
+        values, at = np.unique(c), np.linspace(0, 1, self.bins + 1)[1:-1]
+        between = (values[:-1] + values[1:]) / 2
+        return np.unique(np.concatenate([np.quantile(c, at), np.quantile(between, at), between[:1]])) if len(between) else values
+
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
 

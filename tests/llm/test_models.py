@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphtrail.llm import boosting, fingerprint, langid, neardup, quality, toxicity
-from glyphtrail.llm.labelled import held_out, sample
+from glyphtrail.llm.labelled import held_out, sample, slices
 
 from ..conftest import SF
 from .data import LONG, docs, rows
@@ -27,47 +27,146 @@ def fold(i, n):
 # --- classifiers -------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("module,label,folds,out,least", [(toxicity, "toxic", 5, 0, 0.85), (quality, "quality", 3, 1, 0.95)])
-def test_held_out_accuracy(spark, module, label, folds, out, least):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("module,label,folds,out", [(toxicity, "toxic", 5, 0), (quality, "quality", 3, 1)])
+def test_held_out_accuracy(spark, module, label, folds, out):
+    """Recall and precision of the rarer label and the chance that a row of label 1 scores above one of label 0."""
+    d = "/root/testdata/sf0.1"
     got = module.query(spark, d)
     labels = spark.read.parquet(f"{d}/labels.parquet")
     assert got.count() == spark.read.parquet(f"{d}/documents.parquet").count()
     judged = got.join(labels, "doc_id").filter("held_out").select(label, "predicted", "score").collect()
-    assert len(judged) > 50 and sum(r[0] == r[1] for r in judged) / len(judged) >= least
+    rare = 1 if 2 * sum(r[0] for r in judged) < len(judged) else 0
+    hit = sum(r[0] == r[1] == rare for r in judged)
+    assert hit >= 0.9 * sum(r[0] == rare for r in judged) > 20 and hit >= 0.9 * sum(r[1] == rare for r in judged)
+    ones, zeros = (np.array([r[2] for r in judged if r[0] == v]) for v in (1, 0))
+    above = (ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2
+    assert above >= 0.97
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in judged)
     assert all(r.held_out == (fold(r.doc_id, folds) == out) for r in got.select("doc_id", "held_out").collect())
 
 
+def plain_text(draw, bad, n=60):
+    return " ".join(draw.choice(["you", "moron", "scum"] if bad and draw.random() < 0.3 else ["tree", "river", "stone", "and"]) for _ in range(n)).encode()
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_scores_of_odd_texts(spark, module):
     draw = random.Random(3)
-    plain = lambda bad: (" ".join(draw.choice(["you", "moron", "scum"] if bad and draw.random() < 0.3 else ["tree", "river", "stone", "and"]) for _ in range(60))).encode()
-    model = module.Model([(plain(i % 2), i % 2) for i in range(400)])
-    texts = [b"" if t is None else t.encode() for t in ODD] + [plain(1), plain(0)]
+    model = module.fit_texts([(plain_text(draw, i % 2), i % 2) for i in range(400)])
+    texts = [b"" if t is None else t.encode() for t in ODD] + [plain_text(draw, 1), plain_text(draw, 0)]
     together = model.score(texts)
     assert np.isfinite(together).all() and (together >= 0).all() and (together <= 1).all()
     assert [model.score([t])[0] for t in texts] == list(together)  # neighbours don't matter
     assert together[-2] > 0.5 > together[-1]
     df = docs(spark, [(i, t, None, None, 0) for i, t in enumerate(ODD)] + [(None, "x", None, None, 0)] * 2).withColumnRenamed("lang", "score")
-    assert module.score_texts if module is toxicity else True
+    scored = {r.doc_id: r.score for r in toxicity.score_texts(df, model).collect()}
+    assert scored == {**dict(enumerate(together[: len(ODD)])), None: together[3]}
     assert toxicity.score_texts(df, model).count() == len(ODD) + 2
     assert toxicity.score_texts(docs(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_fit_on_executors_is_the_fit_at_hand(spark, module):
+    """The distributed fit gives the model of the same rows in the same order, long texts among them."""
+    draw = random.Random(8)
+    data = [(i, plain_text(draw, i % 3 == 0, 9000 if i % 50 == 0 else 40).decode(), None, None, 0) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    folds, out = module.FOLDS, module.FOLD
+    model = module.fit(docs(spark, data).repartition(3), labels)
+    order = spark.range(300).select("id", F.xxhash64(F.lit(module.SEED), "id").alias("h")).collect()
+    used = [(data[r.id][1].encode(), int(r.id % 3 == 0)) for r in sorted(order, key=lambda r: (r.h, r.id)) if fold(r.id, folds) != out]
+    assert any(len(t) > 40_000 for t, _ in used)
+    texts = [plain_text(draw, i % 2) for i in range(10)]
+    assert np.allclose(model.score(texts), module.fit_texts(used).score(texts), atol=1e-9)
+
+
+def plain_score(model, text):
+    """The quality score of one text, feature by feature."""
+    low = text.split()
+    feats = []
+    word = lambda w: quality.Spans([w], quality._TABLE, quality._WORD)
+    hashes = [int(word(w).hash(np.array([0]), np.array([len(w)]))[0]) for w in low]
+    mask, mixed = quality.BUCKETS - 1, lambda v: int(quality.mix(np.array([v % 2**64], np.uint64))[0])
+    feats += [h & mask for h in hashes]
+    for w in low:
+        for n in quality.GRAMS:
+            for i in range(len(w) - n + 1):
+                feats.append(mixed(int(word(w).hash(np.array([i]), length=n)[0]) + n) & mask)
+    feats += [7 if a == b else mixed(a * 3 + b) & mask for a, b in zip(hashes, hashes[1:], strict=False)]
+    z = sum(float(model.level[f]) for f in feats) / max(1, len(feats)) + model.bias
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_score_against_brute_force():
+    draw = random.Random(11)
+    model = quality.fit_texts([(plain_text(draw, i % 2), i % 2) for i in range(60)])
+    texts = [b"", b"a", b"tree moron tree", plain_text(draw, 1), "Über straße 𝄞".encode()]
+    assert np.allclose(model.score(texts), [plain_score(model, t) for t in texts], atol=1e-6)
+
+
+def plain_features(text, strong, weak):
+    """The toxicity features of one text, word by word."""
+    table = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ01345@$", b"abcdefghijklmnopqrstuvwxyzoieasas")
+    words = re.findall(rb"[A-Za-z\x80-\xff01345@$]+", text)
+    key = lambda w, k: int(toxicity._keys(toxicity.Spans([w], toxicity._TABLE, toxicity._LETTER), k)[1][0])
+    known = lambda w, keys: any(key(w, k) in keys for k in toxicity.BEGINNINGS if not k or len(w) >= k)
+    second = {w.encode().translate(table) for w in toxicity.SECOND_PERSON.split()}
+    hits, soft = [known(w, strong) for w in words], [known(w, weak) for w in words]
+    you = [w.translate(table) in second for w in words]
+    near = [h and any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, h in enumerate(hits)]
+    n, chars = max(1, len(words)), max(1, len(text))
+    signs = [sum(c in b"01345@$" for c in w) for w in words]
+    return [
+        sum(hits) / n, math.log1p(sum(hits)), sum(soft) / n, math.log1p(sum(soft)), sum(near) / max(1, sum(hits)),
+        sum(65 <= c <= 90 for c in text) / chars, sum(c in b".,;:?!*#$%&|-" for c in text) / chars, text.count(b"!") / chars,
+        sum(k > 0 and len(w) - k >= 2 for k, w in zip(signs, words, strict=True)) / n, math.log1p(len(words)),
+    ]
+
+
+def test_toxicity_score_against_brute_force():
+    draw = random.Random(12)
+    model = toxicity.fit_texts([(plain_text(draw, i % 2), i % 2) for i in range(400)])
+    texts = [b"", b"you M0ron!!", b"tree. you scum, you m@ron and river", plain_text(draw, 1), "Dú escoria ß".encode(), b"a" * 70_000]
+    strong, weak = set(map(int, model.strong)), set(map(int, model.weak))
+    x = np.array([plain_features(t, strong, weak) for t in texts])
+    assert np.allclose(toxicity.features(texts, model.strong, model.weak), x)
+    for row, got in zip(x, model.score(texts), strict=True):
+        raw = model.trees.base
+        for feature, cut, value in model.trees.nodes:
+            at = 0
+            for _ in range(model.trees.depth):
+                if feature[at] >= 0:
+                    f = feature[at]
+                    at = 2 * at + 1 + int(sum(e <= row[f] for e in model.trees.edges[f]) > cut[at])
+            raw += value[at]
+        assert abs(got - np.interp(raw, model.level.x, model.level.p)) < 1e-12
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_without_labels(module):
-    assert list(module.Model([]).score([b"", b"a b"])) == [0.5, 0.5]
-    assert len(module.Model([(b"a", 1)] * 5).score([b"a"])) == 1
+    assert list(module.fit_texts([]).score([b"", b"a b"])) == [0.5, 0.5]
+    assert len(module.fit_texts([(b"a", 1)] * 5).score([b"a"])) == 1
+
+
+def test_few_toxic_rows_are_no_constant():
+    """Twelve positives in front of the others, and as few as two."""
+    draw = random.Random(1)
+    for n in (12, 2):
+        model = toxicity.fit_texts([(plain_text(draw, 1), 1) for _ in range(n)] + [(plain_text(draw, 0), 0) for _ in range(200 - n)])
+        assert model.constant is None
+    many = toxicity.fit_texts([(plain_text(draw, 1), 1) for _ in range(12)] + [(plain_text(draw, 0), 0) for _ in range(188)])
+    assert many.score([plain_text(draw, 1)])[0] > 0.5 > many.score([plain_text(draw, 0)])[0]
 
 
 def test_sample_leaves_out_the_held_out_fold(spark):
-    data = [(i, f"t{i}", None, None, 0) for i in range(200)] + [(5, "t5", None, None, 0), (None, "n", None, None, 0)]
+    data = [(i, f"t{i}" * (9000 if i == 7 else 1), None, None, 0) for i in range(200)] + [(5, "t5", None, None, 0), (None, "n", None, None, 0), (9, None, None, None, 0)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(220)] + [(5, 1), (None, 1)], "doc_id long, y int")
-    got = sample(docs(spark, data), labels, "y", 5, 0, 1000, 100, 1)
-    assert sorted(t for t, _ in got) == sorted(f"t{i}".encode() for i in range(200) if fold(i, 5) != 0)
-    assert len(sample(docs(spark, data), labels, "y", 5, 0, 10, 100, 1)) == 10
-    assert sample(docs(spark, data), labels.limit(0), "y", 5, 0, 10, 100, 1) == []
+    got = sample(docs(spark, data), labels, "y", 5, 0, 1000, 1).collect()
+    assert sorted(r.text for r in got) == sorted(data[i][1] for i in range(200) if fold(i, 5) != 0)
+    ordered = sorted(got, key=lambda r: tuple(r.draw))
+    assert slices([r.y for r in ordered]) == [r.slice for r in ordered] and {r.slice for r in got} == set(range(10))
+    assert sample(docs(spark, data), labels, "y", 5, 0, 10, 1).count() == 10
+    assert sample(docs(spark, data), labels.limit(0), "y", 5, 0, 10, 1).collect() == []
     assert spark.range(3).select(held_out(F.lit(None).cast("long"), 5, 0)).distinct().first()[0] is False
 
 
