@@ -9,11 +9,12 @@ steps a shared sample is kept: a text of size class k (n <= 2^k) keeps the posit
 positions and a fingerprint has about 3 * 2^BASE symbols whatever the length. Likeness is the
 share of equal symbols among common positions that at least one of two walks reached.
 
-``banded`` hashes samples of the kept symbols into buckets, by size class; a text is also banded as
-one of each larger class that ``max_edits`` more characters reach. ``near_pairs`` verifies all pairs of
-distinct texts of a bucket by edit distance, so its cost grows with the square of a bucket, and
-``near_classes`` gives the class of every row, copies and rows without id too. Bands
-are probable, not certain: pairs with many edits for their length may share none.
+``near_classes`` takes ``WALKS`` such walks, each with coins of its own, since how soon two walks fall into
+step again is chance. Bit-sampled bands of each walk's symbols put texts into buckets, by size class; a text is
+also banded as one of the larger class that a tenth more characters reach. Texts of a bucket meet a centre of it, and what
+these stars may miss meets in tiles, as for shingles (``neardup``). A pair is linked if it is verified on all symbols
+of some walk: at least ``LEAST_LIKE`` of them are equal, where unrelated texts have some 15 percent. Classes are what links
+lead to; each row is given its edit distance to the first text of its class. Bands are probable, not certain; the README has measured recall.
 
 Cases: an empty table gives an empty result; a null text counts as empty and an empty one
 has a fingerprint of pads; two fingerprints of pads are wholly alike; equal texts, in one row or
@@ -33,6 +34,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, row_key, table
 from .components import components
+from .neardup import star_pairs, tiles
 from .textops import U64, mix
 
 SEED = 23
@@ -42,7 +44,9 @@ LEAST_CLASS = 5
 PERIOD = 8191
 #: Symbols of the walks of one group of texts, steps times texts.
 GROUP_CELLS = 8 << 20
-BANDS, BAND_SYMBOLS = 24, 8
+#: Walks of ``near_classes``, bands of each, and their symbols, of which so many are no pads.
+WALKS, BANDS, BAND_SYMBOLS, LEAST_SYMBOLS = 5, 12, 7, 4
+LEAST_LIKE = 0.5
 
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _coins = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (PERIOD, 256), dtype=np.uint8)
@@ -69,8 +73,9 @@ def symbols(text: str) -> np.ndarray:
     return (((points * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """The kept symbols (0 .. 15, 0 the pad) of each text, walked in groups of like length."""
+def fingerprints(texts: list[str], walk: int = 0) -> list[np.ndarray]:
+    """The kept symbols (0 .. 15, 0 the pad) of each text, walked in groups of like length; ``walk``
+    numbers walks with different coins."""
     chars = [symbols(t) for t in texts]
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: -len(chars[i]))
@@ -79,12 +84,12 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
         longest = max(1, len(chars[order[at]]))
         group = order[at : at + max(1, GROUP_CELLS // (3 * longest))]
         at += len(group)
-        for i, kept in zip(group, _walk([chars[i] for i in group]), strict=True):
+        for i, kept in zip(group, _walk([chars[i] for i in group], walk * (PERIOD // 7)), strict=True):
             out[i] = kept
     return out
 
 
-def _walk(chars: list[np.ndarray]) -> list[np.ndarray]:
+def _walk(chars: list[np.ndarray], shift: int = 0) -> list[np.ndarray]:
     """The walks of texts by falling length, one column each."""
     lengths = np.array([len(c) for c in chars], np.int64)
     steps = int(3 * lengths[0])
@@ -99,7 +104,7 @@ def _walk(chars: list[np.ndarray]) -> list[np.ndarray]:
         at = pointer[: walking[j]]
         c = flat[at]
         wrote[j, : walking[j]] = c
-        at += _coins[j % PERIOD][c]
+        at += _coins[(j + shift) % PERIOD][c]
         if j & 63 == 63 and not c.any():
             break
     out = []
@@ -244,77 +249,155 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_only_fingerprint, "doc_id long, fingerprint string")
 
 
-def banded(prints: DataFrame, bands: int = BANDS, width: int = BAND_SYMBOLS) -> DataFrame:
-    """doc_id, bucket: a text is in a bucket for each band of sampled symbols, by size class.
-    Bands take symbols at the same places in every fingerprint of a class."""
-    draw = np.random.Generator(np.random.PCG64(SEED + 1)).random((bands, width))
-    symbol = lambda r: F.substring("fingerprint", 4, 1 << 30).substr(F.floor(F.lit(float(r)) * (F.length("fingerprint") - 3)).cast("int") + 1, F.lit(1))
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", 1, 2), *[symbol(r) for r in row]) for b, row in enumerate(draw)])
-    return prints.select("doc_id", F.explode(keys).alias("bucket"))
-
-
 def widened(k: int, kept: np.ndarray, to: int) -> np.ndarray:
-    """What a text of class ``k`` would keep as one of the larger class ``to``."""
+    """What texts of class ``k`` (rows of ``kept``) would keep as ones of the larger class ``to``."""
+    if k == to:
+        return kept
     far = sample(to)
     near = far[far < 3 << k]
-    return np.concatenate([kept[np.searchsorted(sample(k), near)], np.zeros(len(far) - len(near), np.uint8)])
+    return np.concatenate([kept[..., np.searchsorted(sample(k), near)], np.zeros((*kept.shape[:-1], len(far) - len(near)), np.uint8)], axis=-1)
+
+
+def pack(n: int, walks: list[np.ndarray]) -> bytes:
+    """Length of a text, and its kept symbols of all walks."""
+    return n.to_bytes(8, "little") + b"".join(w.tobytes() for w in walks)
 
 
-def _class_prints(max_edits: int):
+def unpack(packed: bytes) -> tuple[int, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    return n, np.frombuffer(packed, np.uint8, offset=8).reshape(-1, len(sample(size_class(n))))
+
+
+def _prints(walks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows(batches, "doc_id", "text"):
-            ids, out = [], []
-            for (d, t), kept in zip(rows, fingerprints([t for _, t in rows]), strict=True):
-                k = size_class(len(t))
-                for to in range(k, size_class(len(t) + max_edits) + 1):
-                    ids.append(d)
-                    out.append(f"{to:02d}:" + _HEX[widened(k, kept, to)].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
+            texts = [t or "" for _, t in rows]
+            made = [fingerprints(texts, w) for w in range(walks)]
+            sigs = [pack(len(t), [m[i] for m in made]) for i, t in enumerate(texts)]
+            nodes = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() if t else None for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.string()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "node", "sig"])
 
     return run
 
 
-def _distinct(docs: DataFrame) -> DataFrame:
-    """key, name (smallest id), text of each distinct text."""
-    rows = docs.filter("text is not null").select(row_key().alias("id"), "text", F.sha2("text", 256).alias("key"))
-    return cut(rows.groupBy("key").agg(F.min("id").alias("name"), F.first("text").alias("text")))
+def band_buckets(packed: bytes) -> np.ndarray:
+    """The buckets of a text. Bands take symbols at the same places in every fingerprint of a class."""
+    n, walks = unpack(packed)
+    out = []
+    for to in range(size_class(n), size_class(n + n // 10 + 1) + 1):
+        kept = widened(size_class(n), walks, to)
+        draw = np.random.Generator(np.random.PCG64(SEED + 1)).random((BANDS, BAND_SYMBOLS))
+        picked = kept[:, (draw * kept.shape[1]).astype(np.int64)]  # walk, band, symbol
+        key = np.arange(len(walks), dtype=U64)[:, None] * U64(1 << 16) + np.arange(BANDS, dtype=U64) + U64(to << 32)
+        for k in range(BAND_SYMBOLS):
+            key = mix(key * U64(0x9E3779B97F4A7C15) + picked[..., k])
+        out.append(key[(picked > 0).sum(axis=-1) >= LEAST_SYMBOLS])
+    return np.concatenate(out)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [band_buckets(p) for p in batch.column("sig").to_pylist()]
+        short = np.repeat(batch.column("short").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+        bucket = np.concatenate(keys) if keys else np.zeros(0, U64)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(short)], names=["bucket", "short"])
+
+
+def best_likeness(a: bytes, b: bytes) -> float:
+    """The greatest likeness of two texts over the walks."""
+    (n, x), (m, y) = unpack(a), unpack(b)
+    to = max(size_class(n), size_class(m))
+    x, y = widened(size_class(n), x, to), widened(size_class(m), y, to)
+    used = (x > 0) | (y > 0)
+    return float((((x == y) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))).max())
 
 
-def _links(one: DataFrame, max_edits: int) -> DataFrame:
-    """x, y, edits: the pairs of distinct texts of a bucket within ``max_edits``."""
-    prints = one.select(F.col("key").alias("doc_id"), "text").mapInArrow(_class_prints(max_edits), "doc_id string, fingerprint string")
-    rows = cut(banded(prints).distinct())
-    pairs = (
-        rows.select("bucket", F.col("doc_id").alias("x")).join(rows.select("bucket", F.col("doc_id").alias("y")), "bucket")
-        .filter("x < y").select("x", "y").distinct()
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [best_likeness(a, b) >= LEAST_LIKE for a, b in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _tile_links(key, group):
+    """Links between components of a meeting of tiles, at most one a pair of components."""
+    names, sigs = group.column("node").to_pylist(), group.column("sig").to_pylist()
+    number: dict[bytes, int] = {}
+    comp = [number.setdefault(c, len(number)) for c in group.column("comp").to_pylist()]
+    side = np.array(group.column("tile").to_pylist()) == key[1].as_py()
+    alone = key[1].as_py() == key[2].as_py()
+    up = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    at = [unpack(p) for p in sigs]
+    classes = np.array([size_class(n) for n, _ in at])
+    out = []
+    for k in np.unique(classes):
+        # All texts of class k and below, as ones of class k: in a pair the larger class is the common one.
+        here = np.flatnonzero(classes <= k)
+        kept = np.stack([widened(int(classes[i]), at[i][1], int(k)) for i in here])
+        for p, i in enumerate(here):
+            if not side[i]:
+                continue
+            # Pairs of two smaller classes come in a smaller class's turn.
+            meets = ((classes[here] == k) | (classes[i] == k)) & (((here > i) & side[here]) if alone else ~side[here])
+            rest = np.array([q for q in np.flatnonzero(meets) if comp[here[q]] != comp[i]], np.int64)
+            if not len(rest):
+                continue
+            used = (kept[rest] > 0) | (kept[p] > 0)
+            like = (((kept[rest] == kept[p]) & used).sum(axis=2) / np.maximum(1, used.sum(axis=2))).max(axis=1)
+            for q in rest[like >= LEAST_LIKE]:
+                j = here[q]
+                if find(comp[i]) != find(comp[j]):
+                    up[find(comp[i])] = find(comp[j])
+                    out.append((names[i], names[j]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+
+def near_classes(docs: DataFrame, walks: int = WALKS) -> DataFrame:
+    """doc_id, class_id, class_size, edits of each row: class_id is the smallest id of the texts that links lead to (a row
+    without id is told by ``row_key``), class_size its number of rows, ``edits`` the edit distance to the text of that id, if it is
+    at most a tenth of the longer text and at least 16 are allowed. A row without text is in a class of its own."""
+    named = docs.select(row_key().cast("string").alias("doc_id"), "text")
+    rows = cut(named.mapInArrow(_prints(walks), "doc_id string, node binary, sig binary").withColumn("doc_id", F.col("doc_id").cast("long")))
+    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    stars = cut(star_pairs(nodes, _bands))
+    n = stars.count()
+    clusters = cut(components(stars, n), 2 * n)
+    sig = nodes.select("node", "sig")
+    met = stars.join(sig.toDF("a", "pa"), "a").join(sig.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
+    comps = cut(components(cut(met.mapInArrow(_verify, "a binary, b binary")), n), 2 * n)
+    more = cut(tiles(clusters, comps).join(sig, "node").groupBy("cluster", "x", "y").applyInArrow(_tile_links, "a binary, b binary"))
+    if more.limit(1).count():
+        comps = cut(components(comps.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), 3 * n), 2 * n)
+    labelled = nodes.select("node", "rep").join(comps, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = cut(labelled.groupBy("label").agg(F.min_by(F.struct("rep", "node"), "rep").alias("first")))
+    classes = labelled.join(first, "label").select(F.col("node").alias("c_node"), F.col("first.rep").alias("class_id"), F.col("first.node").alias("c_first"))
+    out = cut(
+        rows.select("doc_id", "node").join(classes, F.col("node") == F.col("c_node"), "left")
+        .select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "c_first")
     )
-    return cut(
-        pairs.join(one.select(F.col("key").alias("x"), F.col("text").alias("s")), "x")
-        .join(one.select(F.col("key").alias("y"), F.col("text").alias("t")), "y")
-        .filter(F.abs(F.length("s") - F.length("t")) <= max_edits)
-        .select("x", "y", F.levenshtein("s", "t", max_edits).cast("long").alias("edits"))
-        .filter("edits >= 0")
+    # Only texts that are linked with another text are read again.
+    apart = cut(out.filter("node <> c_first").select("node", "c_first").distinct())
+    wanted = cut(apart.select("node").unionByName(apart.select(F.col("c_first").alias("node"))).distinct())
+    texts = docs.filter("text <> ''").select(F.unhex(F.sha2("text", 256)).alias("node"), "text").join(wanted, "node", "left_semi")
+    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
+    pairs = apart.join(texts, "node").join(texts.toDF("c_first", "other"), "c_first")
+    most = F.greatest(F.lit(16), F.floor(F.greatest(F.length("text"), F.length("other")) / 10)).cast("int")
+    edits = pairs.select(F.col("node").alias("e_node"), F.call_function("levenshtein", "text", "other", most).cast("long").alias("edits"))
+    size = out.groupBy(F.col("class_id").alias("s_id")).agg(F.count(F.lit(1)).alias("class_size"))
+    return (
+        out.join(edits, F.col("node") == F.col("e_node"), "left").join(cut(size), F.col("class_id") == F.col("s_id"))
+        .select("doc_id", "class_id", "class_size", F.when(F.col("node").eqNullSafe(F.col("c_first")), F.lit(0).cast("long")).when(F.col("edits") >= 0, F.col("edits")).alias("edits"))
     )
 
 
-def near_pairs(docs: DataFrame, max_edits: int = 64) -> DataFrame:
-    """a, b, edits: pairs of distinct texts, by their smallest ids (``row_key`` where there is
-    none), that meet in a bucket and are at most ``max_edits`` edits apart."""
-    one = _distinct(docs)
-    names = one.select("key", "name")
-    named = _links(one, max_edits).join(names.toDF("x", "p"), "x").join(names.toDF("y", "q"), "y")
-    return named.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "edits")
-
-
-def near_classes(docs: DataFrame, max_edits: int = 64) -> DataFrame:
-    """doc_id, class_id (smallest ``row_key`` of the class) of each row: copies are in one class, and
-    so are texts that links lead to. A row without text is in a class of its own."""
-    one = _distinct(docs)
-    labels = cut(components(_links(one, max_edits).select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    known = cut(one.select("key", "name").join(labels, F.col("key") == F.col("node"), "left").select("key", "name", F.coalesce("label", "key").alias("label")))
-    classes = known.join(known.groupBy("label").agg(F.min("name").alias("class_id")), "label").select("key", "class_id")
-    rows = docs.select("doc_id", row_key().alias("own"), F.sha2("text", 256).alias("key"))
-    return rows.join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "own").alias("class_id"))
+def classes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ first (smallest id) that has it. Exact copies of a document count as one text, s
 copied does not make a document boilerplate.
 
 Cases: an empty table gives an empty result; a null text has no lines; blank lines are
-never templates and stay, and so does a line of fewer than ``MIN_TOKENS`` tokens, however long; equal rows get equal results, and copies of a template's
+never templates and stay, and so does a line of fewer than ``MIN_TOKENS`` tokens and ``MIN_CHARS`` characters (a long line
+of one token, as in scripts without spaces, recurs like any other); a very long text is split in one task; further columns
+stay as they are, ``n_lines`` and ``n_dropped`` of the caller with ``_before`` behind their names; equal rows get equal results, and copies of a template's
 first document keep it too; null ids come last among the first documents.
 """
 
@@ -26,13 +28,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small, table
+from .common import SPACE, beside, cut, small, table
 
 DEPTH = 3
 MIN_TEXTS = 10
 SHARE = 50
 FIXED = 60
-MIN_TOKENS = 2
+MIN_TOKENS, MIN_CHARS = 2, 40
 #: Leaves and templates are broadcast up to this many rows (of 16 bytes).
 SMALL_KEYS = 200_000
 #: What counts as a variable field, in masked form.
@@ -62,6 +64,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     fixed = F.size("tokens") - F.when(F.col("variable"), F.size(F.filter("tokens", lambda t: t == WILD))).otherwise(0)
     return lines.select(
         "doc_id", "text_key", "at", "tokens",
+        ((F.size("tokens") >= MIN_TOKENS) | ((F.size("tokens") > 0) & (F.length("line") >= MIN_CHARS))).alias("counts"),
         F.size("tokens").alias("n"),
         F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
         F.when(fixed * 100 >= F.size("tokens") * FIXED, F.xxhash64(F.size("tokens"), "tokens")).otherwise(F.xxhash64("line")).alias("line_key"),
@@ -124,13 +127,13 @@ def branches(kinds: DataFrame, counts: DataFrame, min_texts: int) -> DataFrame |
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """doc_id, text_key, drop: the positions of a text's lines that go, if any. Only
     keys are written for every line; tokens are made anew for lines of recurring leaves."""
-    keys = cut(lines_of(docs).select("doc_id", "text_key", "at", F.when(F.col("n") >= MIN_TOKENS, F.col("leaf")).alias("leaf"), "line_key"))
+    keys = cut(lines_of(docs).select("doc_id", "text_key", "at", F.when(F.col("counts"), F.col("leaf")).alias("leaf"), "line_key"))
     keys = keys.filter("leaf is not null")
     leaves = cut(recurring(keys, "leaf", min_texts).select("leaf"))
     near = small(leaves, SMALL_KEYS)
     lines = cut(keys.join(near, "leaf"))
     seen = cut(
-        lines_of(docs).join(near, "leaf").groupBy(F.col("leaf").alias("node"), "n", "line_key", "text_key").agg(F.first("tokens").alias("tokens"))
+        lines_of(docs).filter("counts").join(near, "leaf").groupBy(F.col("leaf").alias("node"), "n", "line_key", "text_key").agg(F.first("tokens").alias("tokens"))
     )
     kinds = cut(seen.groupBy("node", "line_key").agg(F.first("tokens").alias("tokens")))
     counts = cut(token_texts(seen))
@@ -163,22 +166,19 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
 def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``docs`` with ``text`` freed of boilerplate, and ``n_lines``, ``n_dropped``."""
-    gone = dropped_lines(docs.select("doc_id", "text"), min_texts).withColumnsRenamed({"doc_id": "_g_id", "text_key": "_g_key", "drop": "_g_drop"})
-    none = F.array().cast("array<int>")
-    lines = F.split("text", "\n")
+    gone = dropped_lines(docs.select("doc_id", "text"), min_texts).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("drop"))
+    text = F.col("_row.text")
+    lines = F.split(text, "\n")
     # Texts without a dropped line are not rebuilt.
-    out = docs.drop("n_lines", "n_dropped").join(
-        gone,
-        F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.xxhash64("text", F.crc32("text")) == F.col("_g_key")),
-        "left",
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(
+        gone, F.col("_row.doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64(text, F.crc32(text)) == F.col("g_key")), "left"
     )
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_g_drop", i)), "\n")
-    return (
-        out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_dropped", F.size(F.coalesce("_g_drop", none)).cast("long"))
-        .withColumn("text", F.when(F.col("_g_drop").isNull(), F.col("text")).otherwise(left))
-        .drop("_g_id", "_g_key", "_g_drop")
+    left = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    kept = [left.alias("text") if c == "text" else col for c, col in zip(docs.columns, beside(docs.columns, ["n_lines", "n_dropped"]), strict=True)]
+    return out.select(
+        *kept,
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.col("drop")), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -191,7 +191,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 x AS (SELECT rid, doc_id, md5(text) AS tk, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d WHERE text IS NOT NULL),
-l AS MATERIALIZED (SELECT * FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '{VARIABLE}', '{WILD}', 'g'), '{SPACE}+'), lambda t: t <> '') AS w FROM x) WHERE len(w) >= {MIN_TOKENS}),
+l AS MATERIALIZED (SELECT * FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '{VARIABLE}', '{WILD}', 'g'), '{SPACE}+'), lambda t: t <> '') AS w FROM x) WHERE len(w) >= {MIN_TOKENS} OR (len(w) > 0 AND length(line) >= {MIN_CHARS})),
 k AS MATERIALIZED (SELECT *, len(w) AS n, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf, CASE WHEN 100 * len(list_filter(w, lambda t: t <> '{WILD}')) >= {FIXED} * len(w) THEN array_to_string(w, ' ') ELSE 'raw: ' || line END AS lk FROM l),
 lv AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT tk) >= {MIN_TEXTS}),
 c AS (SELECT leaf, n, p, w[p] AS token, count(*) AS c FROM (SELECT leaf, n, w, unnest(range(1, n + 1)) AS p FROM k SEMI JOIN lv USING (leaf)) GROUP BY ALL),

@@ -11,10 +11,10 @@
 4. What stars may miss: two nodes of a bucket whose common centre is unlike one of them.
    The unverified pairs' components (clusters) hold all nodes that may still be linked. In a
    cluster with several verified components, nodes meet in tiles of about ``TILE`` nodes, those
-   of one large component in tiles of their own that never meet each other; a tile pair
-   compares signatures at once, checks the promising ones on full sets, and emits links
-   between components only, at most one per pair of components. So the cost falls as the
-   stars succeed, and no task holds a whole cluster.
+   of one large component in tiles of their own that never meet each other. A tile pair
+   first compares signatures of a byte a coordinate; only nodes with a likely partner send their
+   full sets, and links go out between components only, at most one per pair of components. So the cost
+   falls as the stars succeed, and no task holds a whole cluster.
 
 A pair at the least similarity, 0.75, shares a band with probability 1 - 5e-6, and no link
 of a shared band is lost.
@@ -122,11 +122,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(band_keys(sigs).ravel()), pa.array(short)], names=["bucket", "short"])
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
+def star_pairs(nodes: DataFrame, bands=_bands) -> DataFrame:
     """a, b: each node with the centre of each bucket that it shares with others.
-    Buckets hold 64-bit short names; should two nodes share one, both are paired."""
+    ``bands`` makes (bucket, short) of (short, sig); buckets hold 64-bit short names; should
+    two nodes share one, both are paired."""
     named = nodes.select("node", "sig", F.xxhash64("node").alias("short"))
-    rows = named.select("short", "sig").mapInArrow(_bands, "bucket long, short long")
+    rows = named.select("short", "sig").mapInArrow(bands, "bucket long, short long")
     rank = F.xxhash64("bucket", "short")
     shared_ = (
         rows.groupBy("bucket").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter(F.col("low") != F.col("high")).select("bucket", "low")
@@ -229,8 +230,9 @@ def _tile_links(threshold: int):
     return run
 
 
-def remaining_links(nodes: DataFrame, clusters: DataFrame, comps: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """a, b: links between verified components of one cluster that no star showed."""
+def tiles(clusters: DataFrame, comps: DataFrame, tile: int = TILE) -> DataFrame:
+    """cluster, node, comp, tile, x, y: the meetings (x, y) of tiles of nodes of clusters that still have
+    several verified components; ``tile`` is the side that a node is on."""
     member = clusters.select("node", F.col("label").alias("cluster")).join(
         comps.select("node", F.col("label").alias("comp")), "node", "left"
     ).withColumn("comp", F.coalesce("comp", "node"))
@@ -240,22 +242,57 @@ def remaining_links(nodes: DataFrame, clusters: DataFrame, comps: DataFrame, set
     room = sizes.groupBy("cluster", "own").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps"))
     open_ = room.groupBy("cluster").agg(F.sum("comps").alias("comps")).filter("comps > 1").select("cluster")
     room = cut(room.join(open_, "cluster", "left_semi").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")))
-    tiles = room.select("cluster", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-    tiles = tiles.groupBy("cluster").agg(F.collect_list(F.struct("own", "t")).alias("all"))
+    places = room.select("cluster", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    places = places.groupBy("cluster").agg(F.collect_list(F.struct("own", "t")).alias("all"))
     name = lambda own, t: F.concat(F.coalesce(F.hex(own), F.lit("-")), F.lit("/"), t.cast("string"))
-    placed = (
+    return (
         member.join(sizes.select("cluster", "comp", "own"), ["cluster", "comp"])
         .join(room.select("cluster", F.col("own").alias("r_own"), "tiles"), "cluster")
         .filter(F.col("own").eqNullSafe(F.col("r_own")))
         .withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .join(tiles, "cluster")
+        .join(places, "cluster")
         # Two tiles meet unless both belong to one large component.
         .withColumn("to", F.explode(F.filter("all", lambda x: x["own"].isNull() | ~x["own"].eqNullSafe(F.col("own")))))
         .withColumn("tile", name(F.col("own"), F.col("t")))
         .withColumn("meets", name(F.col("to.own"), F.col("to.t")))
         .select("cluster", "node", "comp", "tile", F.least("tile", "meets").alias("x"), F.greatest("tile", "meets").alias("y"))
     )
-    full = placed.join(nodes.select("node", "sig"), "node").join(sets, "node")
+
+
+MEETING = "cluster binary, node binary, comp binary, tile string, x string, y string"
+
+
+def _promising(key, group):
+    """The nodes of a meeting whose short signatures are like one of another component."""
+    n = group.num_rows
+    sigs = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(n, COORDS)
+    number: dict[bytes, int] = {}
+    comp = np.array([number.setdefault(c, len(number)) for c in group.column("comp").to_pylist()])
+    side = np.array(group.column("tile").to_pylist()) == key[1].as_py()
+    left = np.flatnonzero(side)
+    right = left if key[1].as_py() == key[2].as_py() else np.flatnonzero(~side)
+    keep = np.zeros(n, bool)
+    for i in left:
+        like = ((sigs[right] == sigs[i]).mean(axis=1) >= PROMISING) & (comp[right] != comp[i])
+        if like.any():
+            keep[i] = True
+            keep[right[like]] = True
+    return group.drop_columns(["short"]).filter(pa.array(keep))
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each coordinate: equal coordinates have equal bytes, others one in 256 times."""
+    for batch in batches:
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in sigs], pa.binary())], names=["node", "short"])
+
+
+def remaining_links(nodes: DataFrame, clusters: DataFrame, comps: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """a, b: links between verified components of one cluster that no star showed. Only a byte of each
+    coordinate goes to every meeting; signatures and sets go to those nodes that have a likely partner there."""
+    short = nodes.select("node", "sig").mapInArrow(_shorten, "node binary, short binary")
+    likely = cut(tiles(clusters, comps, tile).join(short, "node").groupBy("cluster", "x", "y").applyInArrow(_promising, MEETING))
+    full = likely.join(nodes.select("node", "sig"), "node").join(sets, "node")
     return full.groupBy("cluster", "x", "y").applyInArrow(_tile_links(threshold), "a binary, b binary")
 
 

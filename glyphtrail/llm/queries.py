@@ -8,6 +8,7 @@ QUERIES = {
     "op1_neardup": neardup.query,
     "op2_toxicity": toxicity.query,
     "op3_fingerprint": fingerprint.query,
+    "op3_near_classes": fingerprint.classes_query,
     "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
     "op6_mixing": mixing.query,

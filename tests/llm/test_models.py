@@ -246,26 +246,75 @@ def test_fingerprints_of_few_rows(spark):
     assert len(same) == 3 and len({r.fingerprint for r in same}) == 1
 
 
-def test_near_pairs(spark):
-    draw = random.Random(7)
-    base = "".join(draw.choice("abcdefgh ") for _ in range(900))
-    data = [(i, "".join(draw.choice("abcdefgh ") for _ in range(900)), None, None, 0) for i in range(10, 20)]
-    data += [(1, base, None, None, 0), (2, base[:400] + "Z" + base[401:], None, None, 0), (3, base[5:], None, None, 0), (4, base, None, None, 0), (5, None, None, None, 0)]
-    got = {(r.a, r.b): r.edits for r in fingerprint.near_pairs(docs(spark, data)).collect()}
-    assert got[1, 2] == 1 and set(got) <= {(1, 2), (1, 3), (2, 3)}
-
-
-def test_near_classes(spark):
+def plain_classes(data):
+    """(id, class) by all pairs of texts."""
+    keys = [d if d is not None else ("null", t) for d, t in data]
+    packs = [fingerprint.pack(len(t or ""), [fingerprint.fingerprints([t or ""], w)[0] for w in range(fingerprint.WALKS)]) for _, t in data]
+    up = list(range(len(data)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(data)):
+        for j in range(i):
+            if data[i][1] and data[j][1] and (data[i][1] == data[j][1] or fingerprint.best_likeness(packs[i], packs[j]) >= fingerprint.LEAST_LIKE):
+                up[find(i)] = find(j)
+    least = {}
+    for i, k in enumerate(keys):
+        least.setdefault(find(i), []).append(k)
+    return [min((k for k in least[find(i)] if not isinstance(k, tuple)), default=None) for i in range(len(data))]
+
+
+def edit_some(draw, text, edits):
+    t = list(text)
+    for _ in range(edits):
+        p, kind = draw.randrange(len(t)), draw.choice(["put", "in", "out"])
+        t[p : p + (kind != "in")] = [] if kind == "out" else [draw.choice("abcdefgh")]
+    return "".join(t)
+
+
+def test_near_classes_against_all_pairs(spark):
+    """Texts with up to 20 edits of 900 characters, at the edge of a size class, chains, copies, odd rows."""
     draw = random.Random(9)
     text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
-    edge, base = text(1024), text(900)
-    chain = [base, base[:850] + text(50), base[:840] + text(60), base[:850] + text(50)]
-    data = [(1, edge), (2, edge + "x"), (3, edge), (None, edge), (5, None)] + [(10 + i, c) for i, c in enumerate(chain)] + [(20, text(900)), (20, chain[1])]
-    df = docs(spark, [(d, t, None, None, 0) for d, t in data])
-    pairs = {(r.a, r.b): r.edits for r in fingerprint.near_pairs(df).collect()}
-    assert pairs[1, 2] == 1 and {(10, 11), (10, 12), (11, 13), (12, 13), (11, 12)} <= set(pairs)
-    got = sorted((r.doc_id or 0, r.class_id) for r in fingerprint.near_classes(df).collect())
-    assert got == [(0, 1), (1, 1), (2, 1), (3, 1), (5, 5), (10, 10), (11, 10), (12, 10), (13, 10), (20, 10), (20, 20)]
+    data = []
+    for k in range(40):
+        base = text(900)
+        data += [(10 * k, base), (10 * k + 1, edit_some(draw, base, draw.choice([1, 5, 10, 20])))]
+    edge, chain = text(1024), [text(900)]
+    for _ in range(12):
+        chain.append(edit_some(draw, chain[-1], 12))
+    data += [(1001, edge), (1002, edge + "x"), (1003, edge), (None, edge), (1005, None), (1006, None), (1007, ""), (1008, "ab"), (1009, "ab"), (1010, LONG)]
+    data += [(2000 + i, c) for i, c in enumerate(chain)]
+    want = plain_classes(data)
+    got = {}
+    for r in fingerprint.near_classes(docs(spark, [(d, t, None, None, 0) for d, t in data]).withColumnsRenamed({"lang": "node", "source": "sig"})).collect():
+        got.setdefault(r.doc_id, r)
+    same = [got[d].class_id == w for (d, _), w in zip(data, want, strict=True) if d is not None]
+    assert len(same) - sum(same) <= 2 and len(got) == len(data)  # bands are probable
+    assert sum(got[10 * k + 1].class_id == 10 * k for k in range(40)) >= 38
+    assert got[1002].class_id == 1001 and (got[1002].edits, got[1003].edits, got[1001].edits) == (1, 0, 0) and got[1001].class_size == 4
+    assert got[1005].class_id == 1005 and got[1006].class_size == 1 and got[1009].class_id == 1008
+    assert all(got[10 * k + 1].edits is None or 0 <= got[10 * k + 1].edits <= 20 for k in range(40))
+    assert fingerprint.near_classes(docs(spark, [])).count() == 0
+
+
+def test_tile_links_find_what_stars_miss():
+    """All nodes apart: a meeting of tiles gives links that join exactly the classes."""
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(n)) for n in (900, 1020, 300)]
+    texts = [edit_some(draw, b, k) for b in base for k in (1, 3, 6, 9)]
+    sigs = [fingerprint.pack(len(t), [fingerprint.fingerprints([t], w)[0] for w in range(fingerprint.WALKS)]) for t in texts]
+    names = [bytes([i]) for i in range(len(texts))]
+    for tile in (["x"] * 12, ["x", "y"] * 6):
+        group = pa.table({"node": names, "comp": names, "sig": sigs, "tile": tile})
+        links = fingerprint._tile_links((pa.scalar(b""), pa.scalar("x"), pa.scalar(max(tile))), group).to_pylist()
+        assert all(r["a"][0] // 4 == r["b"][0] // 4 for r in links)
+        assert len(links) == (9 if max(tile) == "x" else 9)
 
 
 # --- language ID -------------------------------------------------------------------
@@ -457,3 +506,33 @@ def test_pipeline_against_brute_force(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert neardup.THRESHOLD == 75 and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "mix_sources", "shard"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, equal ids of unlike texts, rows without id, columns of internal names; an empty table."""
+    import corpus_pipeline
+
+    from .data import words
+
+    draw = random.Random(21)
+    good = [(i, words(draw, 60, 90), "en", f"s{i % 2}", 0) for i in range(40)]
+    item = " ".join(f"item{i}" for i in range(12))
+    data = good + good[:3] * 4 + [(5, words(draw, 60, 90), "en", "s1", 0), (None, words(draw, 60, 90), "en", "s0", 0), (None, None, None, None, None), (None, None, None, None, None)]
+    data += [(77, f"{words(draw, 30, 90)} {item} {words(draw, 30, 90)}", "en", "s0", 0), (78, "", "en", "s0", 0), (79, good[0][1] + " tail", "en", "s0", 0)]
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = {"_row": 1, "_mark": "m", "_key": 2.5, "bucket": None, "shard": "own", "node": {"a": 1}, "size": [1, None], "mark": "x"}
+    df = docs(spark, data)
+    for name, v in odd.items():
+        df = df.withColumn(name, F.lit(v) if not isinstance(v, (dict, list)) else F.create_map(F.lit("a"), F.lit(1)) if isinstance(v, dict) else F.array(F.lit(1), F.lit(None)))
+    df = df.withColumn("bucket", F.lit(None).cast("string"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs(spark, []).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *[c + "_before" if c == "shard" else c for c in odd], "shard", "slot"]
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    want = {(d, t) for d, t, *_ in data if t and d not in (77, 79)}
+    assert got <= want and sum(len(t.split()) for _, t in want - got) <= 0.6 * sum(len(t.split()) for _, t in want)
+    assert {d for d, _ in got} >= {None} or len(got) > 20
+    none = corpus_pipeline.run(spark, str(tmp_path / "empty"))
+    assert none.count() == 0 and none.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]

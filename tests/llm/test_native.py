@@ -362,6 +362,16 @@ def test_lines(spark):
     assert (by[91].text, by[91].n_lines) == (None, 0) and by[92].text == "" and by[93].text == "\n\n" and by[94].text == LONG
 
 
+def test_long_lines_of_one_token_and_clashing_names(spark):
+    line, short = "条款" * 30, "Menu"
+    data = [(i, f"{line}\n{short}\nown line {'abcdefghijkl'[i]} of it", "en", None, i) for i in range(12)]
+    df = docs(spark, data).withColumnsRenamed({"lang": "n_lines", "source": "g_id", "n_chars": "drop"})
+    got = linededup.drop_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines_before", "g_id", "drop", "n_lines", "n_dropped"]
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[0].text == data[0][1] and all(by[i].text == data[i][1].split("\n", 1)[1] and by[i].drop == i for i in range(1, 12))
+
+
 def test_copies_alone_are_no_boilerplate(spark):
     text = "one two three four\nfive six seven eight"
     got = linededup.drop_lines(docs(spark, [(i, text, None, None, 0) for i in range(30)])).collect()
