@@ -1,18 +1,22 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
-result as Parquet in the cluster's shared checkpoint folder and reads it again as the
-next stage's documents.
+result as Parquet in the cluster's shared checkpoint folder, reads it again as the
+next stage's documents, and deletes the one before.
+
+Rows are told apart by their content, not by their ids: equal ids, rows without id and repeated rows
+are no special case. Null and empty texts are rejected by language ID; an empty table gives an empty
+result; further columns pass through, ``shard`` and ``slot`` of the caller as ``shard_before`` and ``slot_before``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphtrail.llm import decontaminate, langid, mixing, neardup, sharding
+from glyphtrail.llm.common import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id."""
+    """One row of each group of near copies, the one of the smallest id."""
     return neardup.deduplicated(docs)
 
 
@@ -52,14 +56,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or tempfile.mkdtemp(prefix="pipeline-")
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        # What the next stage has read and written anew is not needed any more.
+        if last:
+            _remove(spark, last)
+        last = path
     return docs
