@@ -155,16 +155,16 @@ def novelty(answers: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def phrase_counts(corpus: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, n_docs, n_occurrences: word n-grams of the corpus equal to each phrase.
-    ``phrases`` is grouped by length, one pass of the corpus for each length that occurs."""
-    wanted = phrases.select("phrase").distinct().withColumn("n", F.size(F.split("phrase", " ")))
-    lengths = [r.n for r in wanted.select("n").distinct().orderBy("n").limit(64).collect()]
-    found = None
-    for n in lengths:
-        words = F.split("phrase", " ")
-        keyed = wanted.filter(F.col("n") == n).select("phrase", F.xxhash64(*[F.get(words, F.lit(t)) for t in range(n)]).alias("h"))
-        part = _grams(corpus, "doc_id", n, "p").join(small(keyed, SMALL_GRAMS), "h").groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        found = part if found is None else found.unionByName(part)
+    """phrase, n_docs, n_occurrences: word n-grams of the corpus equal to each phrase, of any
+    length. The corpus is read once: a text gives, for each length that occurs, the hashes of its n-grams."""
+    wanted = phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " ")).withColumn("n", F.size("words"))
+    # The lengths are a few numbers, however many phrases there are.
+    lengths = F.broadcast(wanted.select("n").distinct().agg(F.array_sort(F.collect_list("n")).alias("lengths")))
+    words = corpus.select("doc_id", T.tokenize(F.col("text")).alias("_w")).crossJoin(lengths)
+    each = words.select("doc_id", "_w", F.explode(F.filter("lengths", lambda n: n <= F.size("_w"))).alias("n"))
+    grams = each.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("_w", i, F.col("n"))))).alias("h"))
+    keyed = wanted.select("phrase", "n", F.xxhash64("words").alias("h"))
+    found = grams.join(small(keyed, SMALL_GRAMS), ["n", "h"]).groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     counted = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_occurrences"))
     return wanted.select("phrase").join(counted, "phrase", "left").na.fill(0, ["n_docs", "n_occurrences"])
 
@@ -206,7 +206,47 @@ def rarest_term(questions: DataFrame, counts: DataFrame, floor: int) -> DataFram
     )
 
 
-def trace(answers: DataFrame, corpus: DataFrame, turns: DataFrame | None = None, max_calls: int | None = None) -> DataFrame:
-    """One lazy plan for many answers: spans with rank, joined to the answer's coverage."""
-    spans = longest_matches_budget(answers, corpus, max_calls) if max_calls else longest_matches(answers, corpus)
-    return ranked(spans).join(novelty(answers, spans), "answer_id")
+def instruction_query(question: Column, keywords: Column, given: Column | None = None) -> Column:
+    """What to look up: the given term, else the longest keyword (the first of equals), else the
+    question's beginning."""
+    longest = F.element_at(F.filter(keywords, lambda w: F.length(w) == F.array_max(F.transform(keywords, lambda v: F.length(v)))), 1)
+    found = F.when(F.size(keywords) > 0, longest).otherwise(F.substring(question, 1, 40))
+    return found if given is None else F.coalesce(F.nullif(given, F.lit("")), found)
+
+
+def search_instruction(queries: DataFrame, dataset: DataFrame, max_hits: int = 3) -> DataFrame:
+    """question_id, query, total, hits: rows of ``dataset`` (key, text) that contain the query in any
+    case, and the first of their keys. Queries (question_id, query) are broadcast up to ``SMALL_GRAMS`` rows."""
+    distinct = small(queries.select(F.lower("query").alias("q")).distinct(), SMALL_GRAMS)
+    met = dataset.select("key", F.lower("text").alias("low")).join(distinct, F.contains("low", "q"))
+    ranked_ = met.select("q", "key", F.row_number().over(Window.partitionBy("q").orderBy("key")).alias("r"))
+    counted = ranked_.groupBy("q").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("r") <= max_hits, F.col("key")))).alias("hits"))
+    out = queries.join(counted, F.lower("query") == F.col("q"), "left")
+    return out.select("question_id", "query", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce(F.size("hits"), F.lit(0)).alias("n_hits"), F.element_at("hits", 1).alias("first_hit"))
+
+
+def trace(answers: DataFrame, corpus: DataFrame, questions: DataFrame, dataset: DataFrame, stop: list[str], floor: int = 1000, max_calls: int | None = None, top: int = 5, per_span: int = 2) -> DataFrame:
+    """A row an answer: its spans (longest first), how many, the longest, words covered, passages found for the ``top``
+    spans, and what the rarest term of its question (answer_id, question) finds in ``dataset`` (key, text).
+    With ``max_calls`` spans are found within that many look-ups an answer."""
+    places = match_places(answers, corpus)
+    spans = longest_matches_budget(answers, corpus, max_calls) if max_calls else spans_of(answers, places)
+    best = ranked(spans)
+    listed = best.groupBy("answer_id").agg(
+        F.count(F.lit(1)).alias("n_matches"), F.max("n_words").cast("int").alias("longest_span_words"),
+        F.array_sort(F.collect_list(F.struct("rank", "start", "n_words", "n_occurrences", "phrase"))).alias("spans"),
+    )
+    wanted = best.filter(F.col("rank") <= top).select("answer_id", F.col("start").alias("i"), "n_words")
+    held = places.join(wanted, ["answer_id", "i"]).filter(F.col("len") >= F.col("n_words")).select("answer_id", "i", "doc_id").distinct()
+    passages = held.groupBy("answer_id", "i").agg(F.least(F.lit(per_span), F.count(F.lit(1))).alias("n")).groupBy("answer_id").agg(F.sum("n").alias("n_passages"))
+    asked = questions.select("answer_id", "question", T.keywords(F.col("question"), stop).alias("k"))
+    words = asked.select(F.col("answer_id").alias("question_id"), F.posexplode("k").alias("ord", "word"))
+    term = rarest_term(words, phrase_counts(corpus, words.select(F.col("word").alias("phrase"))), floor)
+    queries = asked.join(term, F.col("answer_id") == F.col("question_id"), "left").select(
+        F.col("answer_id").alias("question_id"), instruction_query(F.col("question"), F.col("k"), F.col("term")).alias("query")
+    )
+    told = search_instruction(queries, dataset).withColumnRenamed("question_id", "answer_id")
+    return (
+        novelty(answers, spans).join(listed, "answer_id", "left").join(passages, "answer_id", "left").join(told, "answer_id", "left")
+        .na.fill(0, ["n_matches", "longest_span_words", "n_passages", "total", "n_hits"])
+    )

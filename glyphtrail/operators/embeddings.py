@@ -13,17 +13,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def exemplar_table(exemplars: DataFrame, max_rows: int = SMALL_EXEMPLARS) -> DataFrame:
-    """One row: all exemplars (category, vec) as an array, to be met by every sentence. The
-    number of exemplars is a property of the detector; more than ``max_rows`` are refused."""
-    packed = exemplars.agg(F.collect_list(F.struct("category", "vec")).alias("exemplars"), F.count(F.lit(1)).alias("n"))
-    return packed.withColumn("exemplars", F.when(F.col("n") <= max_rows, F.col("exemplars")).otherwise(F.raise_error(F.lit("too many exemplars")))).drop("n")
+def exemplar_table(exemplars: DataFrame, chunk: int = SMALL_EXEMPLARS) -> DataFrame:
+    """Rows of at most some ``chunk`` exemplars, packed by category, to be met by every sentence. The number of
+    exemplars is a property of the detector; many of them make several rows, not one large one."""
+    n = exemplars.count()
+    part = F.pmod(F.xxhash64("vec"), F.lit(max(1, -(-n // chunk))))
+    packed = exemplars.groupBy(part.alias("part"), "category").agg(F.collect_list("vec").alias("vecs"))
+    return packed.groupBy("part").agg(F.collect_list(F.struct("category", "vecs")).alias("exemplars")).select("exemplars")
 
 
 def similarities(sentences: DataFrame, exemplars: DataFrame) -> DataFrame:
-    """A row per sentence and category: sim, the highest similarity to its exemplars."""
+    """A row per sentence and category: sim, the highest similarity to its exemplars. The maximum is taken inside
+    the sentence's row: only a number a category leaves it."""
+    best = lambda c: F.array_max(F.transform(c["vecs"], lambda x: F.round(dot(F.col("vec"), x), DIGITS)))
     scored = sentences.crossJoin(F.broadcast(exemplar_table(exemplars))).withColumn(
-        "e", F.explode(F.transform("exemplars", lambda x: F.struct(x["category"].alias("category"), F.round(dot(F.col("vec"), x["vec"]), DIGITS).alias("sim"))))
+        "e", F.explode(F.transform("exemplars", lambda c: F.struct(c["category"].alias("category"), best(c).alias("sim"))))
     )
     keys = [c for c in sentences.columns if c != "vec"]
     return scored.groupBy(*keys, "e.category").agg(F.max("e.sim").alias("sim"))

@@ -40,3 +40,13 @@ def size_matched(clusters: DataFrame, cluster: str, flagged: str, target: int) -
         per.withColumn("before", before).filter(F.col("before") < target)
         .withColumn("taken", F.least(F.col("size") - F.col("flagged"), F.lit(target) - F.col("before")))
     )
+
+
+def kmeans_labels(vectors: DataFrame, vec: str, k: int = 20, seed: int = 0) -> DataFrame:
+    """``vectors`` with ``cluster``, by distributed k-means; fewer rows than ``k`` give fewer clusters."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ready = vectors.withColumn("_features", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=30).fit(ready)
+    return model.transform(ready).drop("_features")

@@ -56,3 +56,47 @@ def coverage(expected: DataFrame, given: DataFrame, key: str) -> DataFrame:
 def adjudicated(items: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """The adjudicated label where there is one, else the first annotator's."""
     return items.join(decisions.select(key, F.col("label").alias("_d")), key, "left").withColumn("label", F.coalesce("_d", "label_1")).drop("_d")
+
+
+def run_totals(runs: DataFrame, by: list[str], cost: str, duration: str) -> DataFrame:
+    """Cost to six digits and duration of all runs; what a run does not report counts as nothing."""
+    total = lambda c, kind: F.coalesce(F.sum(F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind))), F.lit(0).cast(kind))
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs"), F.round(total(cost, "double"), 6).alias("total_cost"), total(duration, "long").alias("total_duration"))
+
+
+def pool(*groups: tuple[str, DataFrame]) -> DataFrame:
+    """Tables of one schema under each other, with ``pool``, the name each was given."""
+    named = [df.withColumn("pool", F.lit(name)) for name, df in groups]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def gate(items: DataFrame, sheets: DataFrame, certificates: DataFrame, key: str, annotators: int = 2) -> DataFrame:
+    """One row, status and reason: ``ready`` if ``annotators`` different certified people each labelled
+    every item exactly once, else ``pending`` with the first thing that is missing. ``sheets``: annotator, key,
+    annotator_type, label; ``certificates``: annotator, annotator_id, annotator_type, independent."""
+    n_items = items.agg(F.count_distinct(key).alias("n_items"))
+    labelled = sheets.join(items.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
+    per = labelled.groupBy("annotator").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("known"), F.col(key))).alias("n_known"),
+        F.count_if(~F.col("annotator_type").eqNullSafe(F.lit("human"))).alias("n_other"),
+        F.count_if(F.trim(F.coalesce("label", F.lit(""))) == "").alias("n_blank"),
+    )
+    sound = (F.col("annotator_type") == "human") & F.col("independent") & (F.col("annotator_id") != "")
+    certified = certificates.groupBy("annotator").agg(F.max(F.when(sound, F.col("annotator_id"))).alias("who"))
+    facts = per.join(certified, "annotator", "full").crossJoin(F.broadcast(n_items)).agg(
+        F.count("n").alias("sheets"), F.count("who").alias("certified"), F.count_distinct("who").alias("people"),
+        F.count_if((F.col("n") != F.col("n_items")) | (F.col("n_known") != F.col("n_items"))).alias("uneven"),
+        F.coalesce(F.sum("n_other"), F.lit(0)).alias("other"), F.coalesce(F.sum("n_blank"), F.lit(0)).alias("blank"),
+    )
+    reason = (
+        F.when(F.col("sheets") < annotators, "an annotation is missing")
+        .when(F.col("certified") < annotators, "a certificate is missing or not valid")
+        .when(F.col("people") < annotators, "the annotators are not different people")
+        .when(F.col("uneven") > 0, "an annotation does not cover the items exactly")
+        .when(F.col("other") > 0, "a row is not by a human")
+        .when(F.col("blank") > 0, "a label is empty")
+    )
+    return facts.select(F.when(reason.isNull(), "ready").otherwise("pending").alias("status"), reason.alias("reason"))

@@ -50,10 +50,24 @@ def longest_matches(spark, d):
     return spans(spark, d)
 
 
-@query("longest_matches_budget")
+BUDGET = 40
+_VISIT = f"""bs(item_id, nx, calls, s, len) AS (
+  SELECT item_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT FROM bt
+  UNION ALL
+  SELECT item_id, CASE WHEN k > 0 THEN nx + k ELSE nx + 1 END, calls + least(cost, {BUDGET} - calls), CASE WHEN k > 0 THEN nx END, k FROM (
+    SELECT b.item_id, b.nx, b.calls, CASE WHEN coalesce(l.l, 0) >= 4 THEN least(l.l, {BUDGET} - b.calls + 3) ELSE 0 END AS k,
+      CASE WHEN coalesce(l.l, 0) >= 4 THEN l.l - 3 + CASE WHEN l.l < 16 AND b.nx + l.l + 1 <= len(bt.w) THEN 1 ELSE 0 END WHEN b.nx + 4 <= len(bt.w) THEN 1 ELSE 0 END AS cost
+    FROM bs b JOIN bt USING (item_id) LEFT JOIN l ON l.item_id = b.item_id AND l.i = b.nx WHERE b.calls < {BUDGET} AND b.nx < len(bt.w)))"""
+
+
+@query(
+    "longest_matches_budget",
+    SPANS + f""", {_VISIT} SELECT bs.item_id AS answer_id, s::INTEGER AS "start", len::INTEGER AS n_words, c AS n_occurrences, g AS phrase
+FROM bs JOIN ag ON ag.item_id = bs.item_id AND ag.i = bs.s AND ag.n = bs.len JOIN cnt USING (n, g) WHERE s IS NOT NULL""",
+)
 def longest_matches_budget(spark, d):
-    """With at most 80 look-ups an answer; tested against a plain loop."""
-    return A.longest_matches_budget(answers(spark, d), corpus(spark, d), 80)
+    """With at most ``BUDGET`` look-ups an answer."""
+    return A.longest_matches_budget(answers(spark, d), corpus(spark, d), BUDGET)
 
 
 RANKED = SPANS + ", rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY l DESC, c, pos) AS r FROM spans)"
@@ -130,6 +144,44 @@ def rarest_term(spark, d):
     return A.rarest_term(words, counts, FLOOR)
 
 
+_TERM = f"""dw AS (SELECT unnest(regexp_extract_all(text, {WORD})) AS w FROM documents), fr AS (SELECT w, count(*) AS n FROM dw GROUP BY w),
+kf AS (SELECT conv_id, kw.w, ord, coalesce(n, 0) AS n FROM kw LEFT JOIN fr ON fr.w = kw.w),
+tm AS (SELECT conv_id, coalesce(arg_min(w, (n, ord)) FILTER (n >= {FLOOR}), arg_min(w, (-n, ord))) AS term FROM kf GROUP BY conv_id)"""
+_SEARCHED = "SELECT count(*) AS total, least(3, count(*))::INTEGER AS n_hits, min(c.conv_id * 1000 + c.turn) AS first_hit FROM conversations c WHERE contains(lower(c.text), lower(z.query))"
+
+
+def dataset(spark, d):
+    """The instruction data to search: every turn, by a key of conversation and place."""
+    return S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+
+
+@query(
+    "search_instruction",
+    f"""WITH {QUESTIONS}, {KEYWORDS}, z AS (SELECT conv_id, coalesce(arg_min(kw.w, (-length(kw.w), ord)), substr(any_value(question), 1, 40)) AS query FROM questions LEFT JOIN kw USING (conv_id) GROUP BY conv_id)
+SELECT conv_id AS question_id, query, total, n_hits, first_hit FROM z, LATERAL ({_SEARCHED}) x""",
+)
+def search_instruction(spark, d):
+    q = questions(spark, d).withColumn("k", T.keywords(F.col("question"), L.KEYWORD_STOP))
+    return A.search_instruction(q.select(F.col("conv_id").alias("question_id"), A.instruction_query(F.col("question"), F.col("k")).alias("query")), dataset(spark, d))
+
+
+@query(
+    "trace",
+    RANKED.replace("WITH RECURSIVE", f"WITH RECURSIVE {QUESTIONS}, {KEYWORDS}, {_TERM},") + f""", dj AS MATERIALIZED (SELECT ' ' || array_to_string(w, ' ') || ' ' AS t FROM dt SEMI JOIN hd USING (doc_id)),
+ps AS (SELECT g, least(2, count(*)) AS n FROM (SELECT DISTINCT g FROM rk WHERE r <= 5) JOIN dj ON contains(t, ' ' || g || ' ') GROUP BY g),
+a AS (SELECT item_id, len(any_value(w))::INTEGER AS n_tokens, count(g) AS n_matches, coalesce(max(l), 0)::INTEGER AS longest_span_words, coalesce(sum(l), 0)::BIGINT AS covered,
+  coalesce(sum(CASE WHEN r <= 5 THEN coalesce(n, 0) ELSE 0 END), 0)::BIGINT AS n_passages, coalesce(string_agg(g, '|' ORDER BY r), '') AS phrases FROM bt LEFT JOIN rk USING (item_id) LEFT JOIN ps USING (g) GROUP BY item_id),
+z AS (SELECT a.*, coalesce(term, substr(question, 1, 40)) AS query FROM a LEFT JOIN questions ON questions.conv_id = a.item_id LEFT JOIN tm ON tm.conv_id = a.item_id)
+SELECT item_id AS answer_id, n_tokens, covered, n_matches, longest_span_words, n_passages, md5(phrases) AS phrases_md5, query, total, n_hits, first_hit FROM z, LATERAL ({_SEARCHED}) x""",
+)
+def trace(spark, d):
+    """The whole trace of each benchmark text, as the answer to the question of the conversation with its number."""
+    asked = questions(spark, d).withColumnRenamed("conv_id", "answer_id")
+    out = A.trace(answers(spark, d), corpus(spark, d), asked, dataset(spark, d), L.KEYWORD_STOP, floor=FLOOR)
+    phrases = F.array_join(F.transform("spans", lambda x: x["phrase"]), "|")
+    return out.select("answer_id", "n_tokens", "covered", "n_matches", "longest_span_words", "n_passages", F.md5(F.coalesce(phrases, F.lit(""))).alias("phrases_md5"), "query", "total", "n_hits", "first_hit")
+
+
 _PRESENT = ", ".join(f"CASE WHEN {any_of('lower(text)', ps)} THEN '{c}' END" for c, ps in sorted(L.DEMO.items()))
 
 

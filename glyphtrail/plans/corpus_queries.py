@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import corpus, pairs
+from ..operators.attribution import small
 from ..sources import tables as S
 from .registry import LEX, query, quoted
 from .text_queries import ANSWER_SPANS, GRAMS, body_ngrams
 
+#: Phrases are broadcast up to this many.
+SMALL_PHRASES = 100_000
 PHRASES = [(c, p) for c, p, _ in L.rows(L.DEMO)]
 
 
@@ -191,8 +194,8 @@ def recoverability_by_length(spark, d):
     topical = body_ngrams(spark, d).select(F.lit("topical").alias("kind"), F.col("gram").alias("phrase"), "length")
     phrases = behavioural.unionByName(topical).distinct()
     own = turns(spark, d).filter("role = 'assistant'").select("conv_id", F.lower("text").alias("low"))
-    # Phrases are few beside turns: each turn meets them where it lies, and only hits move.
-    hits = own.join(F.broadcast(phrases), F.contains("low", "phrase")).groupBy("kind", "phrase", "length").agg(F.count_distinct("conv_id").alias("c"))
+    # Up to SMALL_PHRASES, which is counted, each turn meets the phrases where it lies, and only hits move.
+    hits = own.join(small(phrases, SMALL_PHRASES), F.contains("low", "phrase")).groupBy("kind", "phrase", "length").agg(F.count_distinct("conv_id").alias("c"))
     n = turns(spark, d).agg(F.count_distinct("conv_id").alias("n"))
     counted = phrases.join(hits, ["kind", "phrase", "length"], "left").na.fill(0, ["c"])
     out = counted.groupBy("kind", "length").agg(F.count(F.lit(1)).alias("n_phrases"), F.count_if(F.col("c") > 0).alias("n_found"), F.sum("c").alias("conversations"))

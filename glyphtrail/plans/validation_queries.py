@@ -217,18 +217,41 @@ def odds_ratio_ha(spark, d):
     return two_by_two(spark, d).select("model", "category", F.round(o, 6).alias("odds_ratio"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("fisher_exact")
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+def _fisher(source: str, keys: str) -> str:
+    """CTEs that end in fp (keys, p): the exact p of k1 of n1 against k2 of n2. lgamma of 0 and below is never asked."""
+    return f"""fm AS (SELECT *, n1::BIGINT AS fr, (k1 + k2)::BIGINT AS fc, (n1 + n2)::BIGINT AS fn FROM {source}),
+fx AS (SELECT *, unnest(range(greatest(0, fr + fc - fn), least(fr, fc) + 1)) AS x FROM fm),
+fl AS (SELECT *, {_choose('fc', 'x')} + {_choose('(fn - fc)', '(fr - x)')} - {_choose('fn', 'fr')} AS lp FROM fx),
+fs AS (SELECT *, max(CASE WHEN x = k1 THEN lp END) OVER (PARTITION BY {keys}) AS seen FROM fl),
+fp AS MATERIALIZED (SELECT {keys}, any_value(k1) AS k1, any_value(n1) AS n1, any_value(k2) AS k2, any_value(n2) AS n2, round(least(1.0::DOUBLE, sum(exp(lp)) FILTER (lp <= seen + 1e-7)), 9) AS p FROM fs GROUP BY {keys})"""
+
+
+def with_fisher(two, *keys):
+    """``two`` (keys, k1, n1, k2, n2) with its exact p to nine digits."""
+    p = ST.fisher("k1", F.col("n1") - F.col("k1"), "k2", F.col("n2") - F.col("k2"))
+    return two.select(*keys, "k1", "n1", "k2", "n2", F.round(p, 9).alias("p"))
+
+
+@query("fisher_exact", RATES + ", " + _fisher("k", "model, category") + " SELECT model, category, k1, n1, k2, n2, p FROM fp")
 def fisher_exact(spark, d):
-    """Two-sided exact p of each model and category; tested against published values."""
-    k = two_by_two(spark, d)
-    return k.select("model", "category", "k1", "n1", "k2", "n2", ST.fisher("k1", F.col("n1") - F.col("k1"), "k2", F.col("n2") - F.col("k2")).alias("p"))
+    """Two-sided exact p of each model and category; tested against published values too."""
+    return with_fisher(two_by_two(spark, d), "model", "category")
 
 
-@query("mcnemar")
+_MCNEMAR = f"""mk AS (SELECT behavior, chosen_only, rejected_only, (chosen_only + rejected_only)::BIGINT AS m, least(chosen_only, rejected_only)::BIGINT AS low FROM n),
+mt AS (SELECT *, unnest(range(0, low + 1)) AS i FROM mk),
+mc AS MATERIALIZED (SELECT behavior, chosen_only, rejected_only, CASE WHEN any_value(m) = 0 THEN 0.0::DOUBLE ELSE ln(2.0::DOUBLE) + ln(sum(exp({_choose('m', 'i')} - m * ln(2.0::DOUBLE)))) END AS lp FROM mt GROUP BY behavior, chosen_only, rejected_only)"""
+
+
+@query("mcnemar", CQ.COUNTS + f", {_MCNEMAR} SELECT behavior, chosen_only, rejected_only, round(least(1.0::DOUBLE, exp(lp)), 9) AS p, round(lp / ln(10.0::DOUBLE), 6) AS log10_p FROM mc")
 def mcnemar(spark, d):
-    """Exact paired test of each family; tested against published values."""
-    c = CQ.pair_contingency(spark, d)
-    return c.select("behavior", "chosen_only", "rejected_only", ST.mcnemar("chosen_only", "rejected_only").alias("t")).select("behavior", "chosen_only", "rejected_only", "t.*")
+    """Exact paired test of each family; tested against published values too."""
+    c = CQ.pair_contingency(spark, d).select("behavior", "chosen_only", "rejected_only", ST.mcnemar("chosen_only", "rejected_only").alias("t"))
+    return c.select("behavior", "chosen_only", "rejected_only", F.round("t.p", 9).alias("p"), F.round("t.log10_p", 6).alias("log10_p"))
 
 
 def prompt_rates(spark, d):
@@ -276,53 +299,62 @@ def did_permutation(spark, d):
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, d):
-    """95 % intervals of precision, recall and F1 per category under random weights of
-    clusters (documents by language); only counts by cluster reach a task."""
+    """95 % intervals of precision, recall and F1 per category, and of their means over the categories, under
+    random weights of clusters (documents by language) that the categories share; only counts by
+    cluster and category, at most a hundred clusters, reach the task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster")
-        draws = ST.dirichlet_bootstrap(*(pdf[c].to_numpy(float) for c in ("tp", "fp", "fn")), DRAWS, SEED)
+        every = pd.MultiIndex.from_product([sorted(pdf.category.unique()), sorted(pdf.cluster.unique())], names=["category", "cluster"])
+        pdf = pdf.set_index(["category", "cluster"])[["tp", "fp", "fn"]].reindex(every, fill_value=0)
+        # The same seed and number of clusters: every category sees the same weights.
+        draws = {c: ST.dirichlet_bootstrap(*(pdf.loc[c, k].to_numpy(float) for k in ("tp", "fp", "fn")), DRAWS, SEED) for c in every.levels[0]}
+        draws["macro"] = np.mean(list(draws.values()), axis=0)  # a draw counts where every category has a value
         rows = []
-        for i, name in enumerate(("precision", "recall", "f1")):
-            v = draws[:, i][~np.isnan(draws[:, i])]
-            low, high = np.quantile(v, [0.025, 0.975]) if len(v) else (np.nan, np.nan)
-            rows.append((pdf.category.iloc[0], name, float(low), float(high), len(v)))
+        for category, drawn in draws.items():
+            for i, name in enumerate(("precision", "recall", "f1")):
+                v = drawn[:, i][~np.isnan(drawn[:, i])]
+                low, high = np.quantile(v, [0.025, 0.975]) if len(v) else (np.nan, np.nan)
+                rows.append((category, name, float(low), float(high), len(v)))
         return pd.DataFrame(rows, columns=["category", "metric", "low", "high", "valid"])
 
     j = judged(spark, d).withColumn("cluster", F.concat_ws("_", "lang", (F.col("doc_id") % 25).cast("string")))
     counts = j.groupBy("category", "cluster").agg(*[c for k, c in V.outcome(F.col("gold"), F.col("predicted")).items() if k != "tn"])
-    return counts.groupBy("category").applyInPandas(run, "category string, metric string, low double, high double, valid long")
+    return counts.withColumn("every", F.lit("all")).groupBy("every").applyInPandas(run, "category string, metric string, low double, high double, valid long")
 
 
-#: A p value for each gap, from its size and the number of texts: for the corrections below.
-_P = "exp(-abs({}) * 20)"
-TESTS = EQ.DID + f", t AS (SELECT model, category, from_stage, to_stage, round({_P.format('did')}, 9) AS p FROM did WHERE did IS NOT NULL)"
+#: Exact tests of advice against factual texts at each stage, as the tests that the corrections are for.
+TESTS = RATES + """, ks AS (SELECT model, stage, category, count_if(flag = 1 AND condition = 'advice') AS k1, count_if(condition = 'advice') AS n1, count_if(flag = 1 AND condition = 'factual') AS k2, count_if(condition = 'factual') AS n2 FROM flags GROUP BY ALL), """ + _fisher("ks", "model, stage, category")
 
 
 def tests(spark, d):
-    moved = EQ.did(spark, d).filter("did IS NOT NULL")
-    return moved.select("model", "category", "from_stage", "to_stage", F.round(F.exp(-F.abs("did") * 20), 9).alias("p"))
+    n = lambda c, k: F.count_if((F.col("condition") == c) & k)
+    hit, any_ = F.col("flag") == 1, F.lit(True)
+    two = EQ.flags(spark, d).groupBy("model", "stage", "category").agg(
+        n("advice", hit).alias("k1"), n("advice", any_).alias("n1"), n("factual", hit).alias("k2"), n("factual", any_).alias("n2")
+    )
+    return with_fisher(two, "model", "stage", "category")
 
 
 BH = """, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, name) AS rank, count(*) OVER (PARTITION BY family) AS m FROM f),
 q AS (SELECT *, least(1.0::DOUBLE, min(p * m / rank) OVER (PARTITION BY family ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)"""
-_NAMED = "category || '/' || from_stage || '/' || to_stage"
 
 
-@query("bh_qvalues", TESTS + f", f AS (SELECT model AS family, {_NAMED} AS name, p FROM t)" + BH + " SELECT family, name, p, rank::INTEGER AS rank, round(q, 9) AS q FROM q")
+@query("bh_qvalues", TESTS + ", f AS (SELECT model AS family, category || '/' || stage AS name, p FROM fp)" + BH + " SELECT family, name, p, rank::INTEGER AS rank, round(q, 9) AS q FROM q")
 def bh_qvalues(spark, d):
-    t = tests(spark, d).select(F.col("model").alias("family"), F.concat_ws("/", "category", "from_stage", "to_stage").alias("name"), "p")
+    t = tests(spark, d).select(F.col("model").alias("family"), F.concat_ws("/", "category", "stage").alias("name"), "p")
     return ST.bh_qvalues(t, "p", ["family"], "name").withColumn("q", F.round("q", 9))
 
 
-_FAMILIES = TESTS + f""", f AS (SELECT 'stage' AS family, model || '/' || {_NAMED} AS name, p FROM t WHERE from_stage = 'base'
-UNION ALL SELECT 'later', model || '/' || {_NAMED}, p FROM t WHERE from_stage <> 'base')""" + BH
+_PAIRED = CQ.COUNTS.removeprefix("WITH ").replace(" f AS MATERIALIZED", " pf AS MATERIALIZED").replace("FROM f", "FROM pf")
+_FAMILIES = TESTS + ", " + _PAIRED + f""", {_MCNEMAR}, f AS (SELECT 'stage' AS family, model || '/' || category || '/' || stage AS name, p FROM fp
+UNION ALL SELECT 'pairs', behavior, round(least(1.0::DOUBLE, exp(lp)), 9) FROM mc)""" + BH
 
 
 def families(spark, d):
-    t = tests(spark, d).withColumn("name", F.concat_ws("/", "model", "category", "from_stage", "to_stage"))
-    first = t.filter("from_stage = 'base'").select(F.lit("stage").alias("family"), "name", "p")
-    return ST.bh_qvalues(first.unionByName(t.filter("from_stage <> 'base'").select(F.lit("later").alias("family"), "name", "p")), "p", ["family"], "name")
+    """The stage tests and the paired tests, each a family of its own."""
+    stage = tests(spark, d).select(F.lit("stage").alias("family"), F.concat_ws("/", "model", "category", "stage").alias("name"), "p")
+    paired = mcnemar(spark, d).select(F.lit("pairs").alias("family"), F.col("behavior").alias("name"), "p")
+    return ST.bh_qvalues(stage.unionByName(paired), "p", ["family"], "name")
 
 
 @query("bh_families", _FAMILIES + " SELECT family, name, p, round(q, 9) AS q FROM q")
@@ -337,6 +369,35 @@ def sig_summary(spark, d):
     )
 
 
+@query("run_totals", "SELECT event_type, count(*) AS n_runs, round(coalesce(sum(CASE WHEN user_id % 5 <> 0 THEN round(value, 2) ELSE 0 END), 0), 6) AS total_cost, sum(CASE WHEN user_id % 3 <> 0 THEN user_id ELSE 0 END)::BIGINT AS total_duration FROM events GROUP BY event_type")
+def run_totals(spark, d):
+    """Events as runs; some report no cost, some no duration. Costs are in cents, so that sums don't depend on order."""
+    runs = S.table(spark, d, "events").select(
+        "event_type", F.when(F.col("user_id") % 5 != 0, F.round("value", 2)).alias("cost"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("duration")
+    )
+    return V.run_totals(runs, ["event_type"], "cost", "duration")
+
+
+@query("pooled_rates", EQ.FLAGS + " SELECT condition AS pool, category, count(*) AS n, sum(flag)::BIGINT AS hits FROM flags WHERE condition IN ('advice', 'factual') GROUP BY ALL")
+def pooled_rates(spark, d):
+    f = EQ.flags(spark, d)
+    both = V.pool(*[(c, f.filter(F.col("condition") == c)) for c in ("advice", "factual")])
+    return both.groupBy("pool", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("flag").alias("hits"))
+
+
+@query(
+    "annotation_gate",
+    """WITH n AS (SELECT count(DISTINCT doc_id) AS n FROM labels) SELECT CASE WHEN count(*) = any_value(n) AND count(DISTINCT doc_id) = any_value(n) THEN 'ready' ELSE 'pending' END AS status,
+  CASE WHEN count(*) <> any_value(n) OR count(DISTINCT doc_id) <> any_value(n) THEN 'an annotation does not cover the items exactly' END AS reason FROM labels, n""",
+)
+def annotation_gate(spark, d):
+    """Two certified people label all items: their scores may be worked out."""
+    items = S.table(spark, d, "labels").select("doc_id")
+    sheet = lambda k, c: S.table(spark, d, "labels").select(F.lit(k).alias("annotator"), "doc_id", F.lit("human").alias("annotator_type"), F.col(c).cast("string").alias("label"))
+    who = spark.createDataFrame([(1, "a", "human", True), (2, "b", "human", True)], "annotator int, annotator_id string, annotator_type string, independent boolean")
+    return V.gate(items, sheet(1, "quality").unionByName(sheet(2, "toxic")), who, "doc_id")
+
+
 @query("plus_one", EQ.FLAGS + " SELECT model, stage, condition, category, (hits + 1)::DOUBLE / (10000 + 1) AS p FROM cr")
 def plus_one(spark, d):
     return EQ.rates(spark, d).select("model", "stage", "condition", "category", ST.plus_one(F.col("hits"), F.lit(10000)).alias("p"))

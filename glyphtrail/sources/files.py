@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .artifacts import replace
 
 
 def shard_names(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
@@ -105,12 +106,10 @@ def load_history(spark: SparkSession, path: str, record_id: str) -> dict | None:
 
 
 def delete_history(spark: SparkSession, path: str, record_id: str) -> bool:
-    """Rewrites the store without a record; whether it was there."""
-    rows = spark.read.schema(HISTORY).json(path).persist()
-    wanted = F.col("id") == T.safe_id(F.lit(record_id))
-    found = rows.filter(wanted).count() > 0
+    """Rewrites the store without a record, by way of a whole new version; whether it was there."""
+    rows = spark.read.schema(HISTORY).json(path)
+    wanted = F.col("id").eqNullSafe(T.safe_id(F.lit(record_id)))
+    found = rows.filter(wanted).limit(1).count() > 0
     if found:
-        rest = spark.createDataFrame(rows.filter(~wanted).collect(), HISTORY)
-        rest.coalesce(1).write.mode("overwrite").json(path)
-    rows.unpersist()
+        replace(rows.filter(~wanted).coalesce(1), path, "json")
     return found
