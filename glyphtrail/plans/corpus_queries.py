@@ -53,6 +53,16 @@ def take_first_n(spark, d):
     return turns(spark, d).orderBy("conv_id", "turn").limit(20).select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
 
 
+@query("resolved_text", S.ctes("sft") + " SELECT 'documents' AS corpus, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'sft', sum(length(to_json(messages)::VARCHAR))::BIGINT FROM sft")
+def resolved_text(spark, d):
+    """Texts by each table's own schema: strings as they are, messages as JSON."""
+    from ..sources.artifacts import text_column
+
+    size = lambda df, c: df.agg(F.sum(F.length(text_column(df, c))).alias("chars"))
+    a, b = size(docs(spark, d), "text"), size(nested(spark, d), "messages")
+    return a.select(F.lit("documents").alias("corpus"), "chars").unionByName(b.select(F.lit("sft").alias("corpus"), "chars"))
+
+
 QUERY = "license"
 
 
