@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, beside, cut, small, table
+from .common import SPACE, beside, cut, fresh, small, table
 
 DEPTH = 3
 MIN_TEXTS = 10
@@ -43,7 +43,9 @@ WILD = "<*>"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row per line: doc_id, text_key, at, tokens, n, leaf, line_key. Each line is searched
+    """A row per line: doc_id, text_key, at, tokens, n, leaf, line_key; leaf is 0 where a line is too short to
+    count. It is no null, and nothing is filtered here: a filter on what tokens tell, also the one that a join infers
+    for keys that may be null, would be pushed down and split every line a second time. Each line is searched
     once for variable fields; most have none, and single spaces only, for which a plain split does."""
     text = F.col("text")
     odd = F.lit(False)
@@ -62,11 +64,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
     lines = lines.withColumn("tokens", tokens)
     fixed = F.size("tokens") - F.when(F.col("variable"), F.size(F.filter("tokens", lambda t: t == WILD))).otherwise(0)
+    counts = (F.size("tokens") >= MIN_TOKENS) | ((F.size("tokens") > 0) & (F.length("line") >= MIN_CHARS))
     return lines.select(
         "doc_id", "text_key", "at", "tokens",
-        ((F.size("tokens") >= MIN_TOKENS) | ((F.size("tokens") > 0) & (F.length("line") >= MIN_CHARS))).alias("counts"),
         F.size("tokens").alias("n"),
-        F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
+        F.when(counts, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))).otherwise(F.lit(0).cast("long")).alias("leaf"),
         F.when(fixed * 100 >= F.size("tokens") * FIXED, F.xxhash64(F.size("tokens"), "tokens")).otherwise(F.xxhash64("line")).alias("line_key"),
     )
 
@@ -127,13 +129,12 @@ def branches(kinds: DataFrame, counts: DataFrame, min_texts: int) -> DataFrame |
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """doc_id, text_key, drop: the positions of a text's lines that go, if any. Only
     keys are written for every line; tokens are made anew for lines of recurring leaves."""
-    keys = cut(lines_of(docs).select("doc_id", "text_key", "at", F.when(F.col("counts"), F.col("leaf")).alias("leaf"), "line_key"))
-    keys = keys.filter("leaf is not null")
-    leaves = cut(recurring(keys, "leaf", min_texts).select("leaf"))
-    near = small(leaves, SMALL_KEYS)
+    keys = cut(lines_of(docs).select("doc_id", "text_key", "at", "leaf", "line_key")).filter("leaf <> 0")
+    # A checkpoint hands on what the planner knows of its values, and a join infers a filter from that.
+    near = small(fresh(cut(recurring(keys, "leaf", min_texts).select("leaf"))), SMALL_KEYS)
     lines = cut(keys.join(near, "leaf"))
     seen = cut(
-        lines_of(docs).filter("counts").join(near, "leaf").groupBy(F.col("leaf").alias("node"), "n", "line_key", "text_key").agg(F.first("tokens").alias("tokens"))
+        lines_of(docs).join(near, "leaf").groupBy(F.col("leaf").alias("node"), "n", "line_key", "text_key").agg(F.first("tokens").alias("tokens"))
     )
     kinds = cut(seen.groupBy("node", "line_key").agg(F.first("tokens").alias("tokens")))
     counts = cut(token_texts(seen))
