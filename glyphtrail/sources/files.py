@@ -18,9 +18,10 @@ def shard_names(spark: SparkSession, path: str, suffix: str = ".parquet") -> lis
     return sorted(f for f in spark.read.parquet(path).inputFiles() if f.split("?")[0].endswith(suffix))
 
 
-def capped_scan(spark: SparkSession, path: str, max_shards: int | None) -> tuple[DataFrame, int, int]:
-    """(rows of the first ``max_shards`` files, files read, files there)."""
-    names = shard_names(spark, path)
+def capped_scan(spark: SparkSession, path: str | list[str], max_shards: int | None) -> tuple[DataFrame, int, int]:
+    """(rows of the first ``max_shards`` shards, shards read, shards there). The shards of one path are its files;
+    of a list, its members, each a file or a folder that is read whole, however many part files it was written in."""
+    names = shard_names(spark, path) if isinstance(path, str) else sorted(path)
     used = names if max_shards is None else names[:max_shards]
     return spark.read.parquet(*used), len(used), len(names)
 

@@ -61,6 +61,18 @@ def test_capped_scan_and_digests(spark, tmp_path):
     assert files.file_digests(spark, f"{tmp_path}/t/*.parquet").count() == 4
 
 
+def test_shard_of_part_files_is_read_whole(spark, tmp_path):
+    from glyphtrail.plans import REGISTRY
+
+    S.table(spark, SF, "documents").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda d: REGISTRY["shard_cap_scan"][0](spark, d).collect()
+    assert rows(str(tmp_path)) == rows(SF)
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "a"))
+    spark.range(5).write.parquet(str(tmp_path / "b"))
+    df, used, there = files.capped_scan(spark, [str(tmp_path / "b"), str(tmp_path / "a")], 1)
+    assert (df.count(), used, there) == (7, 1, 2)
+
+
 def test_pairs_separator(spark):
     turns = spark.createDataFrame([(1, t, "assistant", f"w{t}") for t in range(3)] + [(2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     got = S.preference_pairs(turns).collect()
