@@ -18,6 +18,8 @@ from ..functions import text as T
 MIN_WORDS, MAX_WORDS = 4, 16
 #: Rows up to which the texts' grams are broadcast.
 SMALL_GRAMS = 1_000_000
+#: Lengths of the beginnings by which queries are looked up, and how much of the words around a space is.
+ANCHORS, AROUND = (8, 5, 3, 2, 1, 0), 2
 
 
 def _grams(df: DataFrame, key: str, n: int, pos: str) -> DataFrame:
@@ -214,15 +216,60 @@ def instruction_query(question: Column, keywords: Column, given: Column | None =
     return found if given is None else F.coalesce(F.nullif(given, F.lit("")), found)
 
 
+def _met_in_words(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """q, key of the texts (key, low, words) that contain a query without a space: it lies inside a word, and
+    is looked up by its beginning at each place of each distinct word. The first word that has it counts."""
+    w, i, q = F.col("word"), F.col("i"), F.col("q")
+    places = texts.select("key", "low", F.explode(F.array_distinct("words")).alias("word"))
+    places = places.select("key", "low", "word", F.explode(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))).alias("i"))
+    anchors = F.array(*[F.when(F.length(w) >= i + (n - 1), F.substr(w, i, F.lit(n))) for n in sizes])
+    met = places.select("key", "low", "word", "i", F.explode(anchors).alias("anchor")).join(wanted, "anchor").filter(F.instr(w, q) == i)
+    start = F.instr("low", q)
+    here = F.concat(F.substring_index(F.left("low", start - 1), " ", -1), F.substring_index(F.substr("low", start), " ", 1))
+    return met.filter(here == w).select("q", "key")
+
+
+def _met_around_spaces(texts: DataFrame, wanted: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """The same for queries with a space, looked up by what stands around their first space at each
+    distinct context of a space in the text. The context of the first occurrence counts."""
+    q, c = F.col("q"), F.col("context")
+    context = lambda before, after: F.concat(F.right(before, F.lit(AROUND)), F.lit(" "), F.left(after, F.lit(AROUND)))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), context)
+    places = texts.select("key", "low", F.explode(F.array_distinct(pairs)).alias("context"))
+    at = F.instr(c, " ")
+    anchors = F.array(*[F.when((at > a) & (F.length(c) - at >= b), F.substr(c, at - a, F.lit(a + 1 + b))) for a, b in shapes])
+    met = places.select("key", "low", "context", F.explode(anchors).alias("anchor")).join(wanted, "anchor")
+    start, bend = F.instr("low", q), F.instr("low", q) + F.instr(q, " ") - 1
+    here = context(F.substring_index(F.left("low", bend - 1), " ", -1), F.substring_index(F.substr("low", bend + 1), " ", 1))
+    return met.filter((start > 0) & (here == c)).select("q", "key")
+
+
 def search_instruction(queries: DataFrame, dataset: DataFrame, max_hits: int = 3) -> DataFrame:
-    """question_id, query, total, hits: rows of ``dataset`` (key, text) that contain the query in any
-    case, and the first of their keys. Queries (question_id, query) are broadcast up to ``SMALL_GRAMS`` rows."""
-    distinct = small(queries.select(F.lower("query").alias("q")).distinct(), SMALL_GRAMS)
-    met = dataset.select("key", F.lower("text").alias("low")).join(distinct, F.contains("low", "q"))
-    ranked_ = met.select("q", "key", F.row_number().over(Window.partitionBy("q").orderBy("key")).alias("r"))
-    counted = ranked_.groupBy("q").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("r") <= max_hits, F.col("key")))).alias("hits"))
-    out = queries.join(counted, F.lower("query") == F.col("q"), "left")
-    return out.select("question_id", "query", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce(F.size("hits"), F.lit(0)).alias("n_hits"), F.element_at("hits", 1).alias("first_hit"))
+    """question_id, query, total, n_hits, first_hit: how many rows of ``dataset`` (key, text) contain the query in any
+    case, how many of them are shown, and the first of their keys. Queries don't meet texts one by one: each is looked up by an
+    anchor, some characters at its beginning or around its first space, and confirmed on the text.
+    Queries (question_id, query) are broadcast up to ``SMALL_GRAMS`` rows."""
+    q = F.col("q")
+    j, parts = F.instr(q, " "), F.split(q, " ")
+    begins = F.coalesce(*[F.when(F.length(q) >= n, F.left(q, F.lit(n))) for n in ANCHORS])
+    around = F.concat(F.right(F.get(parts, F.lit(0)), F.lit(AROUND)), F.lit(" "), F.left(F.get(parts, F.lit(1)), F.lit(AROUND)))
+    distinct = queries.select(F.lower("query").alias("q")).filter(q.isNotNull()).distinct().select("q", (j > 0).alias("spaced"), F.when(j > 0, around).otherwise(begins).alias("anchor"))
+    # A handful of lengths, however many queries there are.
+    before = F.when(F.col("spaced"), F.instr("anchor", " ") - 1).otherwise(0)
+    kinds = distinct.groupBy("spaced", before.alias("a"), F.length("anchor").alias("n")).count().collect()
+    few = F.broadcast(distinct) if sum(k["count"] for k in kinds) <= SMALL_GRAMS else distinct
+    texts = dataset.select("key", F.lower("text").alias("low")).filter("low is not null").select("key", "low", F.split("low", " ").alias("words"))
+    found = []
+    if sizes := sorted(k.n for k in kinds if not k.spaced):
+        found.append(_met_in_words(texts, few.filter("not spaced").select("q", "anchor"), sizes))
+    if shapes := sorted((k.a, k.n - k.a - 1) for k in kinds if k.spaced):
+        found.append(_met_around_spaces(texts, few.filter("spaced").select("q", "anchor"), shapes))
+    if not found:
+        found.append(distinct.crossJoin(dataset.select("key")).limit(0).select("q", "key"))
+    met = found[0] if len(found) == 1 else found[0].unionAll(found[1])
+    counted = met.groupBy("q").agg(F.count(F.lit(1)).alias("total"), F.min("key").alias("first_hit"))
+    out = queries.join(counted, F.lower("query") == q, "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
+    return out.select("question_id", "query", "total", F.least(F.lit(max_hits), F.col("total")).cast("int").alias("n_hits"), "first_hit")
 
 
 def trace(answers: DataFrame, corpus: DataFrame, questions: DataFrame, dataset: DataFrame, stop: list[str], floor: int = 1000, max_calls: int | None = None, top: int = 5, per_span: int = 2) -> DataFrame:

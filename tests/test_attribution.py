@@ -82,3 +82,21 @@ def test_phrase_counts(spark):
     p = spark.createDataFrame([("a b",), ("b",), ("zz",)], "phrase string")
     got = {r.phrase: (r.n_docs, r.n_occurrences) for r in A.phrase_counts(c, p).collect()}
     assert got == {"a b": (2, 3), "b": (2, 3), "zz": (0, 0)}
+
+
+def test_search_instruction(spark):
+    draw = random.Random(4)
+    texts = [(draw.randrange(40), "".join(draw.choice("abAB .é") for _ in range(draw.choice([0, 3, 30])))) for _ in range(120)]
+    texts += [(7, None), (50, "aaaaaaaaaa aaaaaaaaaa"), (50, "aaaaaaaaaa aaaaaaaaaa"), (51, " "), (52, "in the a.  in\tthe")]
+    asked = ["".join(draw.choice("abA .é") for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9) for _ in range(8)]
+    asked += ["", " ", "  ", "a", "A", "aaaa", "aaaaaaaaa", "in the", "n the a.", "a.  in", "in\tthe", "a%", "zzz", None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "question_id long, query string")
+    got = A.search_instruction(queries, spark.createDataFrame(texts, "key long, text string")).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        keys = sorted(k for k, t in texts if t is not None and r.query is not None and r.query.lower() in t.lower())
+        assert (r.query, r.total, r.n_hits, r.first_hit) == (asked[r.question_id], len(keys), min(3, len(keys)), keys[0] if keys else None)
+    assert A.search_instruction(queries.limit(0), spark.createDataFrame(texts, "key long, text string")).count() == 0
+    # No join without keys: queries times texts would be compared.
+    plan = A.search_instruction(queries, spark.createDataFrame(texts, "key long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
