@@ -286,12 +286,13 @@ def trace(answers: DataFrame, corpus: DataFrame, questions: DataFrame, dataset:
     wanted = best.filter(F.col("rank") <= top).select("answer_id", F.col("start").alias("i"), "n_words")
     held = places.join(wanted, ["answer_id", "i"]).filter(F.col("len") >= F.col("n_words")).select("answer_id", "i", "doc_id").distinct()
     passages = held.groupBy("answer_id", "i").agg(F.least(F.lit(per_span), F.count(F.lit(1))).alias("n")).groupBy("answer_id").agg(F.sum("n").alias("n_passages"))
-    asked = questions.select("answer_id", "question", T.keywords(F.col("question"), stop).alias("k"))
+    # Only what was asked of an answer here: there may be a question for every conversation, and few answers.
+    asked = questions.join(answers.select("answer_id").distinct(), "answer_id", "left_semi").select("answer_id", "question", T.keywords(F.col("question"), stop).alias("k"))
     words = asked.select(F.col("answer_id").alias("question_id"), F.posexplode("k").alias("ord", "word"))
     term = rarest_term(words, phrase_counts(corpus, words.select(F.col("word").alias("phrase"))), floor)
     queries = asked.join(term, F.col("answer_id") == F.col("question_id"), "left").select(
         F.col("answer_id").alias("question_id"), instruction_query(F.col("question"), F.col("k"), F.col("term")).alias("query")
-    )
+    ).persist()  # a row an answer; made anew, the corpus would be read for each use
     told = search_instruction(queries, dataset).withColumnRenamed("question_id", "answer_id")
     return (
         novelty(answers, spans).join(listed, "answer_id", "left").join(passages, "answer_id", "left").join(told, "answer_id", "left")

@@ -100,3 +100,17 @@ def test_search_instruction(spark):
     # No join without keys: queries times texts would be compared.
     plan = A.search_instruction(queries, spark.createDataFrame(texts, "key long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_trace_looks_up_only_its_answers(spark):
+    answers, corpus, a, c = tables(spark, 2)
+    asked = spark.createDataFrame([(i, f"word{i % 7} wonders") for i in range(500)], "answer_id long, question string")
+    data = spark.createDataFrame([(1, "word0 wonders"), (2, "WONDERS")], "key long, text string")
+    seen, real = [], A.search_instruction
+    A.search_instruction = lambda q, d: seen.append(q.count()) or real(q, d)
+    try:
+        rows = A.trace(a, c, asked, data, []).collect()
+    finally:
+        A.search_instruction = real
+    assert seen == [len(answers)] and len(rows) == len(answers)
+    assert {(r.query, r.total, r.first_hit) for r in rows} == {("word", 1, 1)}
