@@ -83,13 +83,19 @@ def recurring(lines: DataFrame, key: str, min_texts: int) -> DataFrame:
     )
 
 
-def token_texts(seen: DataFrame) -> DataFrame:
-    """node, n, pos, token, c: the number of distinct texts that have the token there, from
-    lines (node, n, text_key, tokens). No key holds more than one row a text when it is dealt out."""
+def token_texts(seen: DataFrame, kinds: DataFrame) -> DataFrame:
+    """node, n, pos, token, c: the number of distinct texts that have the token there, from lines (node, n, line_key,
+    text_key) and their kinds (node, line_key, tokens). Texts with the same kinds of line in a node are counted first;
+    tokens are made once for all of them. No key holds more than one row a text when it is dealt out."""
+    sets = (
+        seen.groupBy("node", "n", "text_key").agg(F.array_sort(F.collect_set("line_key")).alias("keys"))
+        .groupBy("node", "n", "keys").agg(F.count(F.lit(1)).alias("texts"))
+    )
+    each = sets.select("node", "n", "texts", "keys", F.explode("keys").alias("line_key")).join(kinds.select("node", "line_key", "tokens"), ["node", "line_key"])
     return (
-        seen.select("node", "n", "text_key", F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("node", "n", "pos", "token", "text_key").agg(F.lit(1).alias("one"))
-        .groupBy("node", "n", "pos", "token").agg(F.count("one").alias("c"))
+        each.select("node", "n", "keys", "texts", F.posexplode("tokens").alias("pos", "token"))
+        .groupBy("node", "n", "pos", "token", "keys").agg(F.first("texts").alias("texts"))
+        .groupBy("node", "n", "pos", "token").agg(F.sum("texts").alias("c"))
     )
 
 
@@ -137,7 +143,7 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
         lines_of(docs).join(near, "leaf").groupBy(F.col("leaf").alias("node"), "n", "line_key", "text_key").agg(F.first("tokens").alias("tokens"))
     )
     kinds = cut(seen.groupBy("node", "line_key").agg(F.first("tokens").alias("tokens")))
-    counts = cut(token_texts(seen))
+    counts = cut(token_texts(seen, kinds))
     fits = cut(fitting(kinds, templates(seen, counts)))
     member = lines.join(small(fits, SMALL_KEYS), "line_key")
     whole = cut(recurring(member, "node", min_texts))
@@ -152,7 +158,7 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
         kinds = kinds.drop("node").join(ways, "line_key").withColumnRenamed("branch", "node")
         # Lines of a recurring leaf template count for their branch, but stay or go by the leaf.
         settled = fits.join(whole.select("node"), "node", "left_semi").select("line_key", F.lit(True).alias("settled"))
-        inner = cut(fitting(kinds, templates(seen, cut(token_texts(seen)))).join(settled, "line_key", "left"))
+        inner = cut(fitting(kinds, templates(seen, cut(token_texts(seen, kinds)))).join(settled, "line_key", "left"))
         member = lines.join(small(inner, SMALL_KEYS), "line_key")
         found = small(cut(recurring(member, "node", min_texts).select("node")), SMALL_KEYS)
         rest = cut(member.filter("settled is null").join(found, "node"))
